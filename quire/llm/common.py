@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,5 +81,19 @@ def extended(df: DataFrame, *fields: tuple[str, object]) -> T.StructType:
     """The schema of ``df`` with more fields; ``df.schema`` itself stays."""
     schema = T.StructType(list(df.schema.fields))
     for name, kind in fields:
-        schema = schema.add(name, kind)
+        schema = schema.add(name, T.StructType.fromDDL(f"x {kind}")[0].dataType if isinstance(kind, str) else kind)
     return schema
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in large batches, but of no more text bytes than ``most_bytes`` (one row at least)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for row, size in enumerate(sizes.tolist()):
+            if row > start and held + size > most_bytes:
+                yield batch.slice(start, row - start)
+                start, held = row, 0
+            held += size
+        if batch.num_rows > start:
+            yield batch.slice(start)
