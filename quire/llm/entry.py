@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat
 from .language import op4_language
+from .lines import op7_lines
 from .media import op5_media
 from .mixing import OP9_SQL, op9_mix
 from .pieces import op10_pieces
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_media": op5_media,
     "op6_secrets": op6_secrets,
+    "op7_lines": op7_lines,
     "op8_quality": op8_quality,
     "op9_mix": op9_mix,
     "op10_pieces": op10_pieces,
