@@ -280,8 +280,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", fp_col: str = "fp") -
     roots = components(links(nodes, plan(nodes)))
     placed = nodes.join(roots, "fp", "left").select("fp", "__first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("__first").alias("component_id"))
-    answer = placed.select("fp", "root").join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return df.join(answer, F.col(fp_col) == F.col("__fp")).drop("__fp")
+    answer = placed.select("fp", "root").join(least, "root").select(F.col("fp").alias("__node_fp"), "component_id")
+    return df.join(answer, F.col(fp_col) == F.col("__node_fp")).drop("__node_fp")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
