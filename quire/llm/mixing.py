@@ -33,7 +33,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most_epochs
     Sources by code point, null last, take the weights in turn. A source never gets
     more than ``most_epochs`` times its size; what is over goes to the others by weight,
     until none is above. With ceilings c and weights w in order of c/w, that is the first
-    level (total - ceilings before) / (weights from here) that its own c/w does not cut.
+    level (total - ceilings before) / (weights from here) that its own c/w does not cut;
+    later levels are lower, so it is the greatest of those.
     One row per source goes through one task; the rows are the sources, not the documents.
     """
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -45,7 +46,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most_epochs
     out = out.withColumn("__ratio", F.col("__ceiling") / F.col("__weight"))
     out = out.withColumn("__total", F.sum("source_size").over(whole) * F.lit(float(share)))
     out = out.withColumn("__level", (F.col("__total") - F.coalesce(F.sum("__ceiling").over(before), F.lit(0.0))) / F.sum("__weight").over(onward))
-    out = out.withColumn("__level", F.min(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level"))).over(whole))
+    out = out.withColumn("__level", F.max(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level"))).over(whole))
     target = F.least("__ceiling", F.coalesce(F.col("__weight") * F.col("__level"), F.col("__ceiling")))
     return out.select("source", "source_size", target.alias("target"))
 
@@ -117,7 +118,7 @@ l AS (SELECT *, ceiling / weight AS ratio,
               - coalesce(sum(ceiling) OVER (ORDER BY ceiling / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
              / sum(weight) OVER (ORDER BY ceiling / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
       FROM w),
-t AS (SELECT source, source_size, least(ceiling, weight * min(CASE WHEN lev <= ratio THEN lev END) OVER ()) AS target FROM l),
+t AS (SELECT source, source_size, least(ceiling, weight * max(CASE WHEN lev <= ratio THEN lev END) OVER ()) AS target FROM l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
              CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start,
              CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS epochs
