@@ -1,6 +1,212 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the typeset documents, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import markup, pages
+from ..operators import assembly, classify, furniture, glyphs, links, tables
+from ..sources import typeset
+
+lines, blocks = typeset.lines, typeset.blocks
+
+
+def _ids(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("doc_id", "ord", *more)
+
+
+def _levelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.heading_levels(classify.headings(blocks(spark, sf_dir)))
+
+
+def _with_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blocks(spark, sf_dir)
+    return rows.join(_levelled(spark, sf_dir).select("doc_id", "ord", "level"), ["doc_id", "ord"], "left")
+
+
+def nav_tree(spark, sf_dir):
+    return assembly.nav_tree(_levelled(spark, sf_dir)).select("doc_id", "ord", "level", "text", "parent")
+
+
+def nav_depth2(spark, sf_dir):
+    return assembly.truncated(assembly.nav_tree(_levelled(spark, sf_dir))).select("doc_id", "ord", "parent", "depth")
+
+
+def chapter_titles(spark, sf_dir):
+    return assembly.chapter_titles(assembly.chapters(_with_levels(spark, sf_dir)))
+
+
+def chapter_parts(spark, sf_dir):
+    rows = assembly.chapters(_with_levels(spark, sf_dir)).withColumn("size", assembly.rendered_size(F.col("text")))
+    return assembly.split_by_size(rows.select("doc_id", "chapter", "ord", "size"), 4096)
+
+
+def page_counts(spark, sf_dir):
+    return glyphs.page_counts(typeset.glyphs(spark, sf_dir))
+
+
+def line_text(spark, sf_dir):
+    rows = glyphs.visible(glyphs.upright(typeset.glyphs(spark, sf_dir)))
+    out = glyphs.line_text(rows, "ord")
+    return out.select("doc_id", "page", "ord", F.md5("text").alias("text_md5"), "has_superscript", "size", "baseline", "min_x", "max_x", "min_y", "max_y", "n_glyphs", "font_id")
+
+
+def line_clusters(spark, sf_dir):
+    rows = glyphs.cluster_lines(glyphs.upright(typeset.glyphs(spark, sf_dir)))
+    return rows.groupBy("doc_id", "page", "line").agg(F.count("*").alias("n"), F.min("y").alias("y"))
+
+
+def _columns(spark, sf_dir):
+    """Lines of every fourth page opened in the middle."""
+    rows = typeset.glyphs(spark, sf_dir).where("page % 4 = 1 AND ord % 4 = 1")
+    return rows.withColumn("x", F.col("x") + F.when(F.col("x") >= 180, 120.0).otherwise(0.0)).where("x < 290 OR x + advance > 305")
+
+
+def gutters(spark, sf_dir):
+    found = glyphs.strongest(glyphs.gutters(_columns(spark, sf_dir)))
+    return found.select("doc_id", "page", "gutter", *(F.round(c, 4).alias(c) for c in ("min_x", "max_x", "strength")))
+
+
+def reading_order(spark, sf_dir):
+    rows = lines(spark, sf_dir).withColumn("min_x", F.col("min_x") + F.when(F.col("ord") % 3 == 0, 0.0).otherwise(F.lit(0.0)))
+    cuts = rows.select("doc_id", "page").distinct().withColumns({"min_x": F.lit(200.0), "max_x": F.lit(216.0)})
+    return glyphs.reading_order(rows, cuts).select("doc_id", "page", "ord", "col", "position")
+
+
+def segments(spark, sf_dir):
+    return glyphs.segment_blocks(lines(spark, sf_dir))
+
+
+def _pages(spark, sf_dir):
+    rows = lines(spark, sf_dir).groupBy("doc_id", "page").agg(F.sum("n_glyphs").alias("n_glyphs"), F.sum(F.when(F.col("page") % 19 == 3, F.floor(F.col("n_glyphs") / 50)).otherwise(0)).alias("n_missing"))
+    return rows.withColumns({"width": F.when(F.col("page") % 7 == 6, 792.004).otherwise(612.0), "height": F.when(F.col("page") % 7 == 6, 612.0).otherwise(792.0), "rotate": F.lit(0)})
+
+
+def scan_outcome(spark, sf_dir):
+    rows = _pages(spark, sf_dir)
+    odd = F.col("doc_id") % 13 == 5
+    return furniture.scan_outcome(rows.select("doc_id", F.when(odd, F.col("page") % 10).otherwise(F.col("n_glyphs")).alias("visible"), F.when(odd & (F.col("doc_id") % 2 == 0), 0.95).otherwise(0.1).alias("cover")))
+
+
+def _images(spark, sf_dir):
+    """Two placements on every third page: a picture of one of five contents, and an icon."""
+    rows = lines(spark, sf_dir).groupBy("doc_id", "page").agg(F.sum("n_glyphs").alias("page_glyphs")).where("page % 3 = 0")
+    one = lambda k, x0, y0, w, h: F.struct(F.lit(k).alias("ord"), x0.cast("double").alias("min_x"), F.lit(y0).cast("double").alias("min_y"), (x0 + w).cast("double").alias("max_x"), F.lit(y0 + h).cast("double").alias("max_y"), (F.col("page_glyphs") * k).alias("glyphs_before"), F.lit(False).alias("inline"), F.concat(F.lit("d"), ((F.col("doc_id") + F.col("page") + k) % 5).cast("string")).alias("digest"))
+    both = rows.select("doc_id", "page", "page_glyphs", F.explode(F.array(one(0, F.col("page") % 40 + 60, 200, 220, 150), one(1, F.lit(500), 700, 10, 40))).alias("i"))
+    return both.select("doc_id", "page", "page_glyphs", "i.*")
+
+
+def figures(spark, sf_dir):
+    return tables.figures(_images(spark, sf_dir)).select("doc_id", "page", "ord", "min_x", "max_x")
+
+
+def image_cover(spark, sf_dir):
+    return furniture.image_cover(_images(spark, sf_dir))
+
+
+def image_ids(spark, sf_dir):
+    return tables.image_ids(_images(spark, sf_dir))
+
+
+def captions(spark, sf_dir):
+    figs = tables.figures(_images(spark, sf_dir)).withColumnRenamed("ord", "fig").withColumn("body_size", F.lit(12.0))
+    return links.assign_captions(figs.select("doc_id", "page", "fig", "min_x", "max_x", "min_y", "max_y", "body_size"), blocks(spark, sf_dir))
+
+
+def _rules(spark, sf_dir):
+    """A grid of three columns and four rows on every fifth page, and a second one further down on every tenth."""
+    rows = lines(spark, sf_dir).select("doc_id", "page").distinct().where("page % 5 = 2")
+    at = rows.select("doc_id", "page", F.explode(F.when(F.col("page") % 10 == 2, F.array(F.lit(180.0), F.lit(400.0))).otherwise(F.array(F.lit(180.0)))).alias("top"))
+    level = at.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).select("doc_id", "page", (F.col("k") + F.col("top").cast("int") * 10).alias("seq"), F.lit(True).alias("horizontal"), F.lit(70.0).alias("min_x"), F.lit(340.0).alias("max_x"), (F.col("top") + 28.0 * F.col("k")).alias("min_y"), (F.col("top") + 28.0 * F.col("k") + 0.5).alias("max_y"))
+    upright = at.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("doc_id", "page", (F.col("k") + 5 + F.col("top").cast("int") * 10).alias("seq"), F.lit(False).alias("horizontal"), (70.0 + 90.0 * F.col("k")).alias("min_x"), (70.5 + 90.0 * F.col("k")).alias("max_x"), F.col("top").alias("min_y"), (F.col("top") + 112.0).alias("max_y"))
+    return level.unionByName(upright)
+
+
+def table_grids(spark, sf_dir):
+    return tables.grids(tables.regions(_rules(spark, sf_dir)))
+
+
+def table_cells(spark, sf_dir):
+    return tables.cells(tables.regions(_rules(spark, sf_dir)), typeset.glyphs(spark, sf_dir))
+
+
+def table_confidence(spark, sf_dir):
+    return tables.confidence(table_cells(spark, sf_dir))
+
+
+def footnote_links(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    notes = classify.footnotes(rows)
+    refs = rows.where("cls = 'text' AND ord % 5 = 2").select("doc_id", "page", "ord", F.when(F.col("ord") % 2 == 0, "1").otherwise("2").alias("label"))
+    return links.footnote_links(refs, notes)
+
+
+def crossref_targets(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    refs = rows.where("ord % 9 = 4").select("doc_id", F.col("ord").alias("seq"), (F.col("page") + F.when(F.col("ord") % 2 == 0, 1).otherwise(0)).cast("int").alias("target_page"), F.when(F.col("ord") % 4 == 1, None).otherwise(F.col("ord") * 37 % 792).cast("double").alias("target_y"))
+    return links.cross_references(refs, rows)
+
+
+def outline_bound(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    marks = rows.where("ord % 6 = 1").select("doc_id", "page", F.col("ord").alias("seq"), (F.col("ord") % 3 + 1).cast("int").alias("depth"), F.when(F.col("ord") % 4 == 1, None).otherwise(F.col("min_y") - 3.0).alias("y"))
+    return links.reconcile_outline(marks, rows)
+
+
+def markup_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.md5(markup.escape_xml(F.col("text"))).alias("escaped_md5"), markup.uuid5(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("uuid"))
+
+
+def page_range(spark, sf_dir):
+    return lines(spark, sf_dir).where(pages.contains(F.col("page"), "2-4,3-6,9,12-")).groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"))
+
+
+def _on_blocks(f):
+    return lambda spark, sf_dir: f(blocks(spark, sf_dir))
+
+
+QUERIES = {
+    "typeset_lines": lines,
+    "typeset_blocks": blocks,
+    "body_font": _on_blocks(classify.body_font),
+    "modal_margins": _on_blocks(classify.modal_margins),
+    "headings": _on_blocks(lambda b: _ids(classify.headings(b), "text")),
+    "heading_levels": lambda s, d: _ids(_levelled(s, d), "level"),
+    "quotes": _on_blocks(lambda b: _ids(classify.quotes(b))),
+    "footnotes": _on_blocks(lambda b: _ids(classify.footnotes(b), "label")),
+    "list_groups": _on_blocks(classify.lists),
+    "block_kinds": _on_blocks(classify.kinds),
+    "block_ids": _on_blocks(classify.block_ids),
+    "furniture": _on_blocks(furniture.furniture),
+    "even_sample": _on_blocks(furniture.even_sample),
+    "script_ratio": _on_blocks(furniture.script_ratio),
+    "page_sizes": lambda s, d: furniture.page_sizes(_pages(s, d)),
+    "quality_score": lambda s, d: furniture.quality(_pages(s, d)),
+    "scan_outcome": scan_outcome,
+    "image_cover": image_cover,
+    "nav_tree": nav_tree,
+    "nav_depth2": nav_depth2,
+    "chapter_titles": chapter_titles,
+    "chapter_parts": chapter_parts,
+    "page_counts": page_counts,
+    "line_text": line_text,
+    "line_clusters": line_clusters,
+    "gutters": gutters,
+    "reading_order": reading_order,
+    "segments": segments,
+    "figures": figures,
+    "image_ids": image_ids,
+    "captions": captions,
+    "table_grids": table_grids,
+    "table_cells": table_cells,
+    "table_confidence": table_confidence,
+    "footnote_links": footnote_links,
+    "crossref_targets": crossref_targets,
+    "outline_bound": outline_bound,
+    "markup_columns": markup_columns,
+    "page_range": page_range,
+}
+
+from .oracles import ORACLE_SQL  # noqa: E402, F401
