@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ SPACE = "▁"
 #: Stands for a literal U+2581 while encoding; no valid text holds a lone surrogate.
 _LITERAL = "\udbff"
 #: Words whose ids a worker remembers, in two generations of this many.
-MEMO = 300_000
+MEMO = 250_000
 
 
 class Lexicon:
@@ -225,7 +226,10 @@ class Encoder:
 def decode_ids(ids: Iterable[int] | None, lexicon: Lexicon) -> str:
     """The text of ids. Bytes that are no UTF-8 give U+FFFD; control ids and ids outside the model give nothing."""
     plain, n = lexicon.plain, len(lexicon.plain)
-    text = b"".join([plain[i] for i in ids if i is not None and 0 <= i < n] if ids is not None else []).decode("utf-8", "replace")
+    ids = list(ids) if ids is not None else []
+    if ids and (min(ids) < 0 or max(ids) >= n):
+        ids = [i for i in ids if 0 <= i < n]
+    text = b"".join(map(plain.__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if text[:1] == " " else text
 
 
@@ -274,7 +278,10 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path:
     def run(batches):
         of = lexicon()
         for batch in slices(batches):
-            texts = [decode_ids(ids, of) for ids in batch.column(ids_col).to_pylist()]
+            column = batch.column(ids_col)
+            flat = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+            texts = [decode_ids(ids.tolist(), of) for ids in np.split(flat, ends[:-1])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*own, text_col])
 
     return df.mapInArrow(run, extended(df, (text_col, "string")))
