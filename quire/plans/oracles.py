@@ -11,8 +11,8 @@ _ENDS = r"""regexp_matches(text, '[.!?…。！？]["''”’)\] \t\n]*$')"""
 
 _BODY = f""", fonts AS (SELECT doc_id, family AS body_family, {_Q} AS body_size, bold AS body_bold, fixed AS body_fixed, CAST(sum(n_glyphs) AS BIGINT) AS body_glyphs FROM blocks GROUP BY ALL),
 bodies AS (SELECT * EXCLUDE rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY body_glyphs DESC, body_size, body_family, body_bold, body_fixed) AS rank FROM fonts) WHERE rank = 1)"""
-_HEADS = f"""{_BODY}, heads AS (SELECT b.* FROM blocks b JOIN bodies USING (doc_id) WHERE ({_Q} >= round(body_size * 1.15 / 0.5) * 0.5 AND {_WORDS} <= 50) OR (bold AND NOT body_bold AND {_WORDS} < 15 AND NOT {_ENDS})),
-levels AS (SELECT *, CAST(least(dense_rank() OVER (PARTITION BY doc_id ORDER BY {_Q} DESC, bold DESC), 6) AS INT) AS level FROM heads)"""
+_HEADS = f"""{_BODY}, headlines AS (SELECT b.* FROM blocks b JOIN bodies USING (doc_id) WHERE ({_Q} >= round(body_size * 1.15 / 0.5) * 0.5 AND {_WORDS} <= 50) OR (bold AND NOT body_bold AND {_WORDS} < 15 AND NOT {_ENDS})),
+levels AS (SELECT *, CAST(least(dense_rank() OVER (PARTITION BY doc_id ORDER BY {_Q} DESC, bold DESC), 6) AS INT) AS level FROM headlines)"""
 _MARGINS = """, edges AS (SELECT doc_id, 'l' AS e, round(min_x) AS v FROM blocks WHERE n_lines >= 2 UNION ALL SELECT doc_id, 'r', round(max_x) FROM blocks WHERE n_lines >= 2),
 modes AS (SELECT doc_id, e, v FROM (SELECT doc_id, e, v, row_number() OVER (PARTITION BY doc_id, e ORDER BY count(*) DESC, v) AS r FROM edges GROUP BY doc_id, e, v) WHERE r = 1),
 margins AS (SELECT d.doc_id, coalesce(l.v, 0.0) AS left_margin, coalesce(r.v, 0.0) AS right_margin FROM (SELECT DISTINCT doc_id FROM blocks) d
@@ -51,7 +51,7 @@ ORACLE_SQL = {
     "typeset_blocks": _B + " SELECT * FROM blocks",
     "body_font": _B + _BODY + " SELECT * FROM bodies",
     "modal_margins": _B + _MARGINS + " SELECT * FROM margins",
-    "headings": _B + _HEADS + " SELECT doc_id, ord, text FROM heads",
+    "headings": _B + _HEADS + " SELECT doc_id, ord, text FROM headlines",
     "heading_levels": _B + _HEADS + " SELECT doc_id, ord, level FROM levels",
     "quotes": _B + _QUOTES + " SELECT doc_id, ord FROM quotes",
     "footnotes": _B + _BODY + _NOTES + " SELECT doc_id, ord, label FROM notes",
