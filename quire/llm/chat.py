@@ -201,11 +201,12 @@ WITH t AS (
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e AS (SELECT *,
         regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(\||s>|/s>|<SYS>>|</SYS>>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g') AS body
-      FROM t)
+      FROM t),
+f AS (SELECT *, '<|turn|>' || role || '<|body|>' || body || '<|end|>' || chr(10) AS formatted FROM e)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, body)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, formatted)) AS turns_sha256,
        CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, body), '')) AS loss_sha256,
-       CAST(sum(length('<|turn|>' || role || '<|body|>' || body || '<|end|>' || chr(10))) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, formatted), '')) AS loss_sha256,
+       CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
 """
