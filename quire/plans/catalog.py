@@ -16,6 +16,11 @@ def _ids(df: DataFrame, *more: str) -> DataFrame:
     return df.select("doc_id", "ord", *more)
 
 
+def _known(name: str):
+    """-1 for null, so that no integer column of a result turns into floats where it is read."""
+    return F.coalesce(F.col(name), F.lit(-1)).alias(name)
+
+
 def _levelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.heading_levels(classify.headings(blocks(spark, sf_dir)))
 
@@ -26,11 +31,11 @@ def _with_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nav_tree(spark, sf_dir):
-    return assembly.nav_tree(_levelled(spark, sf_dir)).select("doc_id", "ord", "level", "text", "parent")
+    return assembly.nav_tree(_levelled(spark, sf_dir)).select("doc_id", "ord", "level", "text", _known("parent"))
 
 
 def nav_depth2(spark, sf_dir):
-    return assembly.truncated(assembly.nav_tree(_levelled(spark, sf_dir))).select("doc_id", "ord", "parent", "depth")
+    return assembly.truncated(assembly.nav_tree(_levelled(spark, sf_dir))).select("doc_id", "ord", _known("parent"), "depth")
 
 
 def chapter_titles(spark, sf_dir):
@@ -139,7 +144,7 @@ def footnote_links(spark, sf_dir):
     rows = blocks(spark, sf_dir)
     notes = classify.footnotes(rows)
     refs = rows.where("cls = 'text' AND ord % 5 = 2").select("doc_id", "page", "ord", F.when(F.col("ord") % 2 == 0, "1").otherwise("2").alias("label"))
-    return links.footnote_links(refs, notes)
+    return links.footnote_links(refs, notes).withColumn("note_ord", _known("note_ord"))
 
 
 def crossref_targets(spark, sf_dir):
@@ -177,7 +182,7 @@ QUERIES = {
     "quotes": _on_blocks(lambda b: _ids(classify.quotes(b))),
     "footnotes": _on_blocks(lambda b: _ids(classify.footnotes(b), "label")),
     "list_groups": _on_blocks(classify.lists),
-    "block_kinds": _on_blocks(classify.kinds),
+    "block_kinds": _on_blocks(lambda b: classify.kinds(b).withColumn("level", _known("level"))),
     "block_ids": _on_blocks(classify.block_ids),
     "furniture": _on_blocks(furniture.furniture),
     "even_sample": _on_blocks(furniture.even_sample),

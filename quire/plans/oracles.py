@@ -60,7 +60,7 @@ r AS (SELECT *, CASE WHEN item AND lag(item) OVER w AND lag(ordered) OVER w = or
 n AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS run FROM r)
 SELECT doc_id, min(ord) AS first_ord, page, ordered, CAST(count(*) AS BIGINT) AS items, coalesce(TRY_CAST(regexp_extract(arg_min(text, ord), '^\(?([0-9]{{1,3}})[.)\]]', 1) AS INT), 0) AS start
 FROM n WHERE item GROUP BY doc_id, run, ordered, page HAVING count(*) > 1 OR sum(n_lines) >= 2""",
-    "block_kinds": _B + _HEADS + _NOTES + _QUOTES + f""" SELECT b.doc_id, b.ord, CASE WHEN l.level IS NOT NULL THEN 'heading' WHEN b.fixed AND NOT body_fixed THEN 'code' WHEN n.ord IS NOT NULL THEN 'footnote' WHEN {_MARK.replace('text', 'b.text')} THEN 'list' WHEN q.ord IS NOT NULL THEN 'blockquote' ELSE 'paragraph' END AS kind, l.level
+    "block_kinds": _B + _HEADS + _NOTES + _QUOTES + f""" SELECT b.doc_id, b.ord, CASE WHEN l.level IS NOT NULL THEN 'heading' WHEN b.fixed AND NOT body_fixed THEN 'code' WHEN n.ord IS NOT NULL THEN 'footnote' WHEN {_MARK.replace('text', 'b.text')} THEN 'list' WHEN q.ord IS NOT NULL THEN 'blockquote' ELSE 'paragraph' END AS kind, coalesce(l.level, -1) AS level
 FROM blocks b JOIN bodies ON b.doc_id = bodies.doc_id LEFT JOIN levels l ON l.doc_id = b.doc_id AND l.ord = b.ord LEFT JOIN notes n ON n.doc_id = b.doc_id AND n.ord = b.ord LEFT JOIN quotes q ON q.doc_id = b.doc_id AND q.ord = b.ord""",
     "block_ids": _B + """, h AS (SELECT doc_id, ord, 'b' || sha256(encode('paragraph') || unhex('00') || unhex(printf('%08x', page)) || encode(text))[1:8] AS base FROM blocks),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY ord) - 1 AS k FROM h) SELECT doc_id, ord, CASE WHEN k = 0 THEN base ELSE base || '-' || printf('%02x', k) END AS block_id FROM n""",
@@ -77,8 +77,8 @@ a AS (SELECT doc_id, median(visible) AS median_glyphs, avg(CASE WHEN cover >= 0.
 SELECT doc_id, CAST(median_glyphs AS DOUBLE) AS median_glyphs, round(p, 6) AS image_pages, CASE WHEN median_glyphs < 20 AND p > 0.8 THEN 'no_text_layer' WHEN median_glyphs < 20 THEN 'warn' ELSE 'ok' END AS outcome FROM a""",
     "image_cover": _L + _IMAGES + """, c AS (SELECT DISTINCT doc_id, page, cx, cy FROM images, range(32) a(cx), range(32) b(cy) WHERE cx >= floor(min_x / 612.0 * 32) AND cx <= ceil(max_x / 612.0 * 32) - 1 AND cy >= floor(min_y / 792.0 * 32) AND cy <= ceil(max_y / 792.0 * 32) - 1)
 SELECT doc_id, page, round(count(*) / 1024.0::DOUBLE, 6) AS cover FROM c GROUP BY doc_id, page""",
-    "nav_tree": _B + _NAV + " SELECT doc_id, ord, level, text, parent FROM nav",
-    "nav_depth2": _B + _NAV + " SELECT n.doc_id, n.ord, n.parent, CASE WHEN n.parent IS NULL THEN 1 ELSE 2 END AS depth FROM nav n LEFT JOIN nav p ON p.doc_id = n.doc_id AND p.ord = n.parent WHERE n.parent IS NULL OR p.parent IS NULL",
+    "nav_tree": _B + _NAV + " SELECT doc_id, ord, level, text, coalesce(parent, -1) AS parent FROM nav",
+    "nav_depth2": _B + _NAV + " SELECT n.doc_id, n.ord, coalesce(n.parent, -1) AS parent, CASE WHEN n.parent IS NULL THEN 1 ELSE 2 END AS depth FROM nav n LEFT JOIN nav p ON p.doc_id = n.doc_id AND p.ord = n.parent WHERE n.parent IS NULL OR p.parent IS NULL",
     "chapter_titles": _B + _CHAPTERS + """ SELECT doc_id, chapter, coalesce(arg_min(CASE WHEN level IS NOT NULL AND trim(text) <> '' THEN text END, CASE WHEN level IS NOT NULL AND trim(text) <> '' THEN ord END), CASE WHEN chapter = 0 THEN 'Untitled' ELSE 'Page ' || CAST(min(page) + 1 AS VARCHAR) END) AS title, count(*) AS n_blocks FROM chapters GROUP BY doc_id, chapter""",
     "page_counts": _G + " SELECT doc_id, page, count(*) AS n_glyphs, CAST(sum(CASE WHEN render_mode NOT IN (3, 7) THEN 1 ELSE 0 END) AS BIGINT) AS n_visible, CAST(sum(CASE WHEN rotation > 5 THEN 1 ELSE 0 END) AS BIGINT) AS n_rotated, CAST(sum(CASE WHEN missing THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, NOT bool_or(render_mode NOT IN (3, 7)) AS used_invisible FROM glyphs GROUP BY doc_id, page",
     "line_text": _G + """, u AS (SELECT *, bool_or(render_mode NOT IN (3, 7)) OVER (PARTITION BY doc_id, page) AS any_seen FROM glyphs WHERE rotation <= 5),
@@ -102,7 +102,7 @@ a AS (SELECT doc_id, page, region, sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS al
 t AS (SELECT doc_id, page, region, count(DISTINCT "row") AS n_rows, count(*) AS n, CAST(sum(CASE WHEN text <> '' THEN 1 ELSE 0 END) AS BIGINT) AS filled, sum(CASE WHEN length(text) > 1 THEN 1 ELSE 0 END) AS long_ FROM cells GROUP BY ALL)
 SELECT doc_id, page, region, n_rows, n_cols, filled, CASE WHEN aligned >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM t JOIN a USING (doc_id, page, region) WHERE filled >= 0.5 * n AND long_ >= 0.5 * filled AND filled > 0""",
     "footnote_links": _B + _BODY + _NOTES + """, r AS (SELECT doc_id, page, ord, CASE WHEN ord % 2 = 0 THEN '1' ELSE '2' END AS label FROM blocks WHERE cls = 'text' AND ord % 5 = 2)
-SELECT r.doc_id, r.page, r.label, r.ord, n.note_ord FROM r LEFT JOIN (SELECT doc_id, page, label, min(ord) AS note_ord FROM notes GROUP BY ALL) n USING (doc_id, page, label)""",
+SELECT r.doc_id, r.page, r.label, r.ord, coalesce(n.note_ord, -1) AS note_ord FROM r LEFT JOIN (SELECT doc_id, page, label, min(ord) AS note_ord FROM notes GROUP BY ALL) n USING (doc_id, page, label)""",
     "crossref_targets": _B + """, r AS (SELECT doc_id, ord AS seq, CAST(page + CASE WHEN ord % 2 = 0 THEN 1 ELSE 0 END AS INT) AS target_page, CASE WHEN ord % 4 = 1 THEN NULL ELSE CAST(ord * 37 % 792 AS DOUBLE) END AS target_y FROM blocks WHERE ord % 9 = 4),
 j AS (SELECT r.*, b.ord, CASE WHEN target_y IS NULL THEN 0.0 WHEN target_y < min_y THEN min_y - target_y WHEN target_y <= max_y THEN 0.0 ELSE target_y - max_y + 1e6 END AS gap FROM r JOIN blocks b ON b.doc_id = r.doc_id AND b.page = r.target_page)
 SELECT doc_id, seq, target_page, target_y, ord AS target_ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY gap, ord) AS k FROM j) WHERE k = 1""",
