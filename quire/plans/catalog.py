@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import markup, pages
-from ..operators import assembly, classify, furniture, glyphs, links, tables
+from ..functions import hyphenation, markup, pages
+from ..operators import assembly, classify, furniture, glyphs, links, runs, tables
 from ..sources import typeset
 
 lines, blocks = typeset.lines, typeset.blocks
@@ -168,6 +168,63 @@ def page_range(spark, sf_dir):
     return lines(spark, sf_dir).where(pages.contains(F.col("page"), "2-4,3-6,9,12-")).groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"))
 
 
+def style_runs(spark, sf_dir):
+    """Two stretches of each line made bold or italic."""
+    rows = typeset.glyphs(spark, sf_dir).withColumns({"bold": F.col("seq").between(5, 11), "italic": F.col("seq").between(9, 20)})
+    return runs.style_runs(rows)
+
+
+def split_lines(spark, sf_dir):
+    rows = _columns(spark, sf_dir)
+    cuts = rows.select("doc_id", "page").distinct().withColumns({"min_x": F.lit(190.0), "max_x": F.lit(290.0)})
+    return runs.split_at_gutters(rows, cuts).groupBy("doc_id", "page", "ord", "segment").agg(F.count("*").alias("n"), F.min("x").alias("min_x"))
+
+
+def marker_merge(spark, sf_dir):
+    """Every second footnote loses its text to a block of its own first."""
+    rows = blocks(spark, sf_dir).select("doc_id", "ord", "page", "text", "size", "min_x", "min_y", "n_lines")
+    notes = rows.where("text LIKE '1 %' AND min_y > 600 AND ord % 2 = 0")
+    marks = notes.withColumns({"text": F.lit("1"), "ord": F.col("ord") * 2 - 1})
+    rest = rows.withColumn("text", F.when(F.expr("text LIKE '1 %' AND min_y > 600 AND ord % 2 = 0"), F.expr("substring(text, 3)")).otherwise(F.col("text"))).withColumn("ord", F.col("ord") * 2)
+    return runs.merge_markers(rest.unionByName(marks)).select("doc_id", "ord", "text")
+
+
+def inline_figures(spark, sf_dir):
+    figs = tables.figures(_images(spark, sf_dir)).withColumns({"max_x": F.col("min_x") + 90.0, "min_y": F.lit(206.0) + F.col("page") % 3 * 12, "max_y": F.lit(216.0) + F.col("page") % 3 * 12})
+    return runs.inline_figures(figs, blocks(spark, sf_dir), 468.0).select("doc_id", "page", "ord")
+
+
+def upper_medians(spark, sf_dir):
+    return runs.upper_median(lines(spark, sf_dir), "n_glyphs", "doc_id", "page")
+
+
+#: A few patterns and exceptions, enough to reach every rule.
+PATTERNS = hyphenation.Patterns(["1ti", "e1re", "n1t", "o1n", "1be", "1ke", "h1t", "a1n"], ["thereon-the"])
+
+
+def hyphen_decisions(spark, sf_dir):
+    """The last word of every fifth line broken in the middle."""
+    word = F.element_at(F.split("text", " "), -1)
+    rows = lines(spark, sf_dir).where("ord % 5 = 1").withColumn("word", word).where("length(word) > 3")
+    half = F.floor(F.length("word") / 2).cast("int")
+    return rows.select("doc_id", "ord", "word", hyphenation.hyphen_decisions(F.substring("word", F.lit(1), half), F.expr("substring(word, int(floor(length(word) / 2)) + 1)"), PATTERNS).alias("decision"))
+
+
+def normalised_text(spark, sf_dir):
+    """Ligatures, soft hyphens and doubled spaces put into every line and taken out again."""
+    odd = F.concat(F.regexp_replace(F.regexp_replace("text", "fi", "ﬁ"), "t", "t\u00ad"), F.lit("  "))
+    return lines(spark, sf_dir).select("doc_id", "ord", markup.nfc(markup.normalise_text(odd)).alias("text"))
+
+
+def small_values(spark, sf_dir):
+    """Roman numerals and file dates made from document numbers."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    tens, ones = F.array(*map(F.lit, ("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"))), F.array(*map(F.lit, ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")))
+    numeral = F.concat(F.get(tens, (F.col("doc_id") % 100 / 10).cast("int")), F.get(ones, (F.col("doc_id") % 10).cast("int")))
+    date = F.concat(F.lit("D:2021"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("15103000"), F.when(F.col("doc_id") % 2 == 0, "+02'00'").otherwise("Z"))
+    return docs.where("doc_id % 100 > 0").select("doc_id", markup.roman(numeral).alias("value"), F.unix_seconds(markup.pdf_date(date)).alias("seconds"))
+
+
 def _on_blocks(f):
     return lambda spark, sf_dir: f(blocks(spark, sf_dir))
 
@@ -212,6 +269,14 @@ QUERIES = {
     "outline_bound": outline_bound,
     "markup_columns": markup_columns,
     "page_range": page_range,
+    "style_runs": style_runs,
+    "split_lines": split_lines,
+    "marker_merge": marker_merge,
+    "inline_figures": inline_figures,
+    "upper_medians": upper_medians,
+    "hyphen_decisions": hyphen_decisions,
+    "normalised_text": normalised_text,
+    "small_values": small_values,
 }
 
 from .oracles import ORACLE_SQL  # noqa: E402, F401

@@ -110,4 +110,12 @@ SELECT doc_id, seq, target_page, target_y, ord AS target_ord FROM (SELECT *, row
 SELECT doc_id, md5(replace(replace(replace(replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_md5,
 s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || substr('89ab89ab89ab89ab', CAST(strpos('0123456789abcdef', s[17:17]) AS INT), 1) || s[18:20] || '-' || s[21:32] AS uuid FROM h""",
     "page_range": _L + " SELECT doc_id, page, count(*) AS n_lines FROM lines WHERE page BETWEEN 1 AND 5 OR page = 8 OR page >= 11 GROUP BY doc_id, page",
+    "style_runs": _G + """, g AS (SELECT *, seq BETWEEN 5 AND 11 AS bold_, seq BETWEEN 9 AND 20 AS italic_, row_number() OVER (PARTITION BY doc_id, page, ord ORDER BY x, seq) - 1 AS at_, count(*) OVER (PARTITION BY doc_id, page, ord) AS n FROM glyphs),
+r AS (SELECT doc_id, page, ord, bold_ AS bold, italic_ AS italic, min(at_) AS start, max(at_) + 1 AS "end", max(n) AS n, sum(CASE WHEN regexp_matches(rune, '\\p{L}') THEN 1 ELSE 0 END) AS letters FROM g WHERE bold_ OR italic_ GROUP BY ALL)
+SELECT doc_id, page, ord, start, "end", bold, italic FROM r WHERE "end" - start < n AND letters >= 2""",
+    "marker_merge": _B + " SELECT doc_id, ord * 2 AS ord, text FROM blocks",
+    "inline_figures": _B + _IMAGES + """ SELECT DISTINCT i.doc_id, i.page, i.ord FROM images i JOIN blocks b ON b.doc_id = i.doc_id AND b.page = i.page AND b.n_lines >= 2 AND b.min_y < 206.0 + i.page % 3 * 12 AND b.max_y > 216.0 + i.page % 3 * 12 WHERE i.ord = 0""",
+    "upper_medians": _L + ", s AS (SELECT doc_id, page, list_sort(list(n_glyphs)) AS a FROM lines GROUP BY doc_id, page) SELECT doc_id, page, a[len(a) // 2 + 1] AS upper_median FROM s",
+    "normalised_text": _L + " SELECT doc_id, ord, rtrim(CASE WHEN contains(text || '  ', '  ') THEN regexp_replace(text || '  ', '[ \\t\\n]+', ' ', 'g') END) AS text FROM lines",
+    "small_values": "SELECT doc_id, CAST(doc_id % 100 AS INT) AS value, CAST(epoch(make_timestamp(2021, doc_id % 12 + 1, 15, 10, 30, 0.0)) AS BIGINT) - CASE WHEN doc_id % 2 = 0 THEN 7200 ELSE 0 END AS seconds FROM documents WHERE doc_id % 100 > 0",
 }
