@@ -11,6 +11,9 @@ scanned once; what follows works on the lengths of matches, one row per match.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,7 +62,8 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = df.withColumns({f"__{k}": _matches(text, k) for k in KINDS})
-    out = out.withColumn("__text", F.when(F.coalesce(*(F.size(F.when(F.col(f"__{k}").isNotNull(), F.array(F.lit(1)))) for k in KINDS)).isNotNull() & F.greatest(*(F.col(f"__{k}").isNotNull() for k in KINDS)), F.sha2(text.cast("binary"), 256)))
+    matched = reduce(or_, (F.col(f"__{k}").isNotNull() for k in KINDS))
+    out = out.withColumn("__text", F.when(matched, F.sha2(text.cast("binary"), 256)))
     return stage(out.drop(text_col))
 
 
