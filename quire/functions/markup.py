@@ -49,10 +49,14 @@ def pdf_date(text: Column) -> Column:
     return F.timestamp_seconds(F.unix_seconds(at) - F.when(zone[0] == "-", -1).otherwise(1) * F.when(zone[0] == "", 0).otherwise(minutes) * 60)
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
+def nfc(text: Column) -> Column:
     """Composed form; Spark has no expression for it."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+    @F.pandas_udf("string")
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+    return composed(text)
 
 
 def normalise_text(text: Column) -> Column:
