@@ -118,4 +118,16 @@ SELECT doc_id, page, ord, start, "end", bold, italic FROM r WHERE "end" - start
     "upper_medians": _L + ", s AS (SELECT doc_id, page, list_sort(list(n_glyphs)) AS a FROM lines GROUP BY doc_id, page) SELECT doc_id, page, a[len(a) // 2 + 1] AS upper_median FROM s",
     "normalised_text": _L + " SELECT doc_id, ord, rtrim(CASE WHEN contains(text || '  ', '  ') THEN regexp_replace(text || '  ', '[ \\t\\n]+', ' ', 'g') END) AS text FROM lines",
     "small_values": "SELECT doc_id, CAST(doc_id % 100 AS INT) AS value, CAST(epoch(make_timestamp(2021, doc_id % 12 + 1, 15, 10, 30, 0.0)) AS BIGINT) - CASE WHEN doc_id % 2 = 0 THEN 7200 ELSE 0 END AS seconds FROM documents WHERE doc_id % 100 > 0",
+    "line_clusters": _G + """, u AS (SELECT doc_id, page, y, count(*) AS n FROM glyphs WHERE rotation <= 5 GROUP BY ALL)
+SELECT doc_id, page, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y) - 1 AS INT) AS line, n, y FROM u""",
+    "split_lines": _G + """, c AS (SELECT *, x + CASE WHEN x >= 180 THEN 120.0 ELSE 0.0 END AS xx FROM glyphs WHERE page % 4 = 1 AND ord % 4 = 1), d AS (SELECT * FROM c WHERE xx < 290 OR xx + advance > 305),
+m AS (SELECT doc_id, page, ord, median(advance) AS step FROM d GROUP BY ALL),
+g AS (SELECT d.*, step, lag(xx + advance) OVER (PARTITION BY d.doc_id, d.page, d.ord ORDER BY xx, seq) AS fx FROM d JOIN m USING (doc_id, page, ord)),
+s AS (SELECT *, sum(CASE WHEN 240.0 > fx AND 240.0 < xx AND xx - fx >= 0.5 * step THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, ord ORDER BY xx, seq ROWS UNBOUNDED PRECEDING) AS segment FROM g)
+SELECT doc_id, page, ord, CAST(segment AS BIGINT) AS segment, count(*) AS n, min(xx) AS min_x FROM s GROUP BY doc_id, page, ord, segment""",
+    "chapter_parts": (_B + _CHAPTERS).replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT doc_id, chapter, ord, CAST(floor(strlen(text) * 12 / 10) + 32 AS BIGINT) AS size, row_number() OVER (PARTITION BY doc_id, chapter ORDER BY ord) AS k FROM chapters),
+r AS (SELECT doc_id, chapter, ord, k, size AS used, 0 AS part FROM s WHERE k = 1
+  UNION ALL SELECT s.doc_id, s.chapter, s.ord, s.k, CASE WHEN r.used > 0 AND r.used + s.size > 3584 THEN s.size ELSE r.used + s.size END, r.part + CASE WHEN r.used > 0 AND r.used + s.size > 3584 THEN 1 ELSE 0 END
+  FROM r JOIN s ON s.doc_id = r.doc_id AND s.chapter = r.chapter AND s.k = r.k + 1)
+SELECT doc_id, chapter, ord, part FROM r""",
 }
