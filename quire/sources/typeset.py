@@ -106,11 +106,13 @@ def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "lines")
+    """Kept in memory or on disk, since most queries read them in several branches."""
+    return _view(spark, sf_dir, "lines").persist()
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "blocks")
+    """Kept like the lines. Glyphs, of which there are hundreds a line, are not."""
+    return _view(spark, sf_dir, "blocks").persist()
 
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
