@@ -228,6 +228,27 @@ def test_boundaries_resist_shifts():
     assert len(a & b) >= 0.9 * len(a)
 
 
+def test_short_passages_go_whole(spark):
+    """Passages of 50 words and more on one to four lines, between lines of their own; under 50 words they stay."""
+    rng = random.Random(61)
+    words = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(7)) for _ in range(n))
+    rows, want = [], {}
+    for k, shape in enumerate([(50,), (70,), (25, 25), (45, 5), (5, 60), (20, 10, 20), (60, 3, 4), (13, 13, 12, 12), (1, 1, 1, 50), (49,), (12, 12, 12, 13)]):
+        passage = [words(n) for n in shape]
+        for j in range(3):
+            above, below = [words(9) for _ in range(j + 2)], [words(30) for _ in range(3 - j)]
+            rows.append((10 * k + j, "\n".join(above + passage + below)))
+            want[10 * k + j] = "\n".join(above + (passage if j == 0 or sum(shape) < 50 else []) + below)
+    twice = words(55)
+    rows += [(900, twice), (901, twice), (902, f"x\n{twice}\ny\n{twice}")]
+    want |= {900: twice, 901: "", 902: "x\ny"}
+    got = {r.doc_id: r for r in lines.dedup(spark.createDataFrame(rows, DOCS), least_words=lines.LEAST_WORDS).collect()}
+    # a passage under 50 words may hold a whole chunk, which goes as ever
+    exact = [i for i in want if i not in range(100, 110)]
+    assert {i: got[i].text for i in exact} == {i: want[i] for i in exact}
+    assert all(got[i].removed_lines == len(dict(rows)[i].split("\n")) - len(want[i].split("\n")) for i in exact if want[i])
+
+
 # --- SimHash
 
 
