@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import random
@@ -183,6 +184,26 @@ def test_compression_bands():
     assert judge(b"short")
 
 
+def test_no_byte_escapes_the_chunks():
+    squeeze = zstandard.ZstdCompressor(level=quality.LEVEL)
+    rng = random.Random(41)
+    judge = lambda raw: quality.verdict(len(raw), *quality.ratios(raw, squeeze))
+    prose = lambda n: " ".join(rng_words(rng, n, "etaoinshrdlucm")).encode()[:n]
+    phrase = lambda n: (b"the same few words over again " * n)[:n]
+    code = lambda n: base64.b64encode(rng.randbytes(n))[:n]
+    for n in (512, 600, 1500, 2047, 2048, 2500, 4095, 6000, 20000):
+        assert judge(prose(n)), n
+    for junk in (phrase, code):
+        for n in (600, 1000, 2047):
+            assert not judge(prose(2048) + junk(max(n, 700))), (junk, n)
+            assert not judge(prose(n // 2) + junk(n)), (junk, n)
+    for n in (64, 100, 127, 128, 255, 256, 511, 512, 1023, 1024, 2048, 4095, 4096, 20000, 70000):
+        assert not judge(code(n)), n
+    for n in (511, 512, 513, 2047, 2048, 2049, 2600, 4096, 5000):
+        covered = {k for a, b in quality.cut(n) for k in range(a, b)}
+        assert covered == (set(range(n)) if n >= 512 else set())
+
+
 # --- line dedup
 
 
