@@ -68,8 +68,14 @@ def _columns(spark, sf_dir):
     return rows.withColumn("x", F.col("x") + F.when(F.col("x") >= 180, 120.0).otherwise(0.0)).where("x < 290 OR x + advance > 305")
 
 
+def _with_columns(spark, sf_dir):
+    """All glyphs; every fourth page is opened in the middle."""
+    opened = (F.col("page") % 4 == 1) & (F.col("x") >= 180)
+    return typeset.glyphs(spark, sf_dir).withColumn("x", F.col("x") + F.when(opened, 120.0).otherwise(0.0))
+
+
 def gutters(spark, sf_dir):
-    found = glyphs.strongest(glyphs.gutters(_columns(spark, sf_dir)))
+    found = glyphs.strongest(glyphs.gutters(_with_columns(spark, sf_dir)))
     return found.select("doc_id", "page", "gutter", *(F.round(c, 4).alias(c) for c in ("min_x", "max_x", "strength")))
 
 
