@@ -209,9 +209,9 @@ PATTERNS = hyphenation.Patterns(["1ti", "e1re", "n1t", "o1n", "1be", "1ke", "h1t
 
 
 def hyphen_decisions(spark, sf_dir):
-    """The last word of every fifth line broken in the middle."""
+    """The last word of every line broken in the middle."""
     word = F.element_at(F.split("text", " "), -1)
-    rows = lines(spark, sf_dir).where("ord % 5 = 1").withColumn("word", word).where("length(word) > 3")
+    rows = lines(spark, sf_dir).withColumn("word", word)
     half = F.floor(F.length("word") / 2).cast("int")
     return rows.select("doc_id", "ord", "word", hyphenation.hyphen_decisions(F.substring("word", F.lit(1), half), F.expr("substring(word, int(floor(length(word) / 2)) + 1)"), PATTERNS).alias("decision"))
 

@@ -14,6 +14,14 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
+def test_every_line_gets_a_hyphen_decision(spark):
+    got = {(r.doc_id, r.ord): r for r in catalog.QUERIES["hyphen_decisions"](spark, SF).collect()}
+    want = {(r.doc_id, r.ord): r.text.split(" ")[-1] for r in typeset.lines(spark, SF).select("doc_id", "ord", "text").collect()}
+    assert {k: r.word for k, r in got.items()} == want
+    assert all(r.decision for r in got.values())
+    assert {r.decision for r in got.values() if len(r.word) < 2} <= {"keep: empty fragment"}
+
+
 def test_gutters_read_every_page(spark, monkeypatch):
     seen = []
     real = catalog.glyphs.gutters
