@@ -25,10 +25,10 @@ from .common import extended, held_out, table, text_slices
 
 #: Code points of sample text: of one language, of all together, of one document.
 LANGUAGE_CHARS, ALL_CHARS, DOCUMENT_CHARS = 40_000, 400_000, 1_500
-#: Documents asked for from a language; languages learnt, the most frequent ones.
-DOCUMENTS, LANGUAGES = 60, 64
-#: Symbols beside the space: the letters most frequent in the sample. Others break a phrase.
-LETTERS = 94
+#: Documents asked for from a language.
+DOCUMENTS = 60
+#: Letters with a symbol of their own, the most frequent of the sample. The sample's others are numbers of DIGITS more symbols.
+LETTERS, DIGITS = 94, 32
 #: Weight of one phrase in the score.
 PHRASE = 0.5
 #: Below this many lanes a step costs more than its texts' code points one by one.
@@ -90,20 +90,28 @@ class Parser:
             for c in t:
                 counts[c] = counts.get(c, 0) + 1
         counts.pop(" ", None)
-        letters = sorted(sorted(counts), key=lambda c: -counts[c])[:LETTERS]
-        self.width = len(letters) + 2  # 0: space; the last: a letter outside the table
+        letters = sorted(sorted(counts), key=lambda c: -counts[c])
+        letters, rare = letters[:LETTERS], letters[LETTERS:]
+        self.n_digits = 1
+        while DIGITS**self.n_digits < len(rare):
+            self.n_digits += 1
+        self.width = len(letters) + DIGITS * bool(rare) + 2  # 0: space; the last: a letter that no sample has
         self.symbol = {c: k + 1 for k, c in enumerate(letters)}
         other = self.width - 1
+        self._first_digit = len(letters) + 1
         #: Symbol of each code point of the basic plane and beyond, small letters first.
         self.codes = np.zeros(0x110000, np.uint8)
         self.codes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        #: Number of each rare letter, -1 for all else.
+        self._rare = np.full(0x110000, -1, np.int32)
+        self._rare[[ord(c) for c in rare]] = np.arange(len(rare))
         self._known = np.zeros(0x110000, bool)
-        self._known[[ord(c) for c in letters]] = True
+        self._known[[ord(c) for c in (*letters, *rare)]] = True
         self._known[:128] = True
         self._other = other
         tables, roots, base = [], [], 0
         for k in self.languages:
-            states = Automaton(bytes(self.symbol.get(c, 0) if c == " " else self.symbol.get(c, other) for c in texts[k])).next
+            states = Automaton(bytes(self._symbols(np.fromiter(map(ord, texts[k]), np.uint32)))).next
             width, root = self.width, base * self.width
             start = np.full(width, root | 1 << self.SHIFT, np.uint32)  # at the root an unknown symbol is a phrase
             for c, s in states[0].items():
@@ -123,16 +131,30 @@ class Parser:
         self.roots = np.array(roots, np.uint32)
         self._scalar = memoryview(self.table)
 
+    def _symbols(self, points: np.ndarray) -> np.ndarray:
+        """Symbols of code points; a rare letter takes several."""
+        symbols, rare = self.codes[points], self._rare[points]
+        for at in np.flatnonzero(~self._known[points]).tolist():
+            c = chr(points[at])
+            if c.isalpha() or unicodedata.category(c) in ("Mn", "Mc"):
+                symbols[at] = self._other
+        where = np.flatnonzero(rare >= 0)
+        if not len(where):
+            return symbols
+        sizes = np.ones(len(points), np.int64)
+        sizes[where] = self.n_digits
+        out = np.repeat(symbols, sizes)
+        start = (np.cumsum(sizes) - sizes)[where]
+        for k in range(self.n_digits):
+            out[start + k] = self._first_digit + rare[where] // DIGITS ** (self.n_digits - 1 - k) % DIGITS
+        return out
+
     def encode(self, text: str | None) -> np.ndarray:
         """Symbols of a text; runs of spaces are one, none at the ends; empty without a letter."""
         if not text:
             return np.zeros(0, np.uint8)
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        symbols = self.codes[points]
-        for at in np.flatnonzero(~self._known[points]).tolist():
-            c = chr(points[at])
-            if c.isalpha() or unicodedata.category(c) in ("Mn", "Mc"):
-                symbols[at] = self._other
+        symbols = self._symbols(points)
         space = symbols == 0
         keep = ~space
         keep[1:] |= space[1:] & ~space[:-1]
@@ -203,17 +225,18 @@ def learn(docs: DataFrame) -> dict[str, str]:
     """Sample text by language, from labelled rows outside the evaluation fold.
 
     A language's rows are counted first; rows whose hash lies below DOCUMENTS / count are
-    its sample, so about DOCUMENTS rows reach the driver whatever the corpus, and the same
-    ones each time. What is over LANGUAGE_CHARS, or ALL_CHARS shared by the languages, is cut.
+    its sample, so about DOCUMENTS rows of each reach the driver whatever the corpus, and the same
+    ones each time. Every language is learnt; what is over LANGUAGE_CHARS, or ALL_CHARS
+    shared by the languages, is cut from its sample.
     """
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", F.substring("text", 1, DOCUMENT_CHARS).alias("text"))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = own.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return {}
     hashed = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 30))
     below = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, DOCUMENTS / r["count"]) * (1 << 30))))), F.col("lang"))
-    rows = own.where(hashed < below).withColumn("__hash", hashed).orderBy("__hash", "text").limit(3 * DOCUMENTS * len(counts)).collect()
-    most = min(LANGUAGE_CHARS, ALL_CHARS // len(counts))
+    most = max(1, min(LANGUAGE_CHARS, ALL_CHARS // len(counts)))
+    rows = own.where(hashed < below).withColumns({"__hash": hashed, "text": F.substring("text", 1, most)}).orderBy("__hash", "text").limit(3 * DOCUMENTS * len(counts)).collect()
     out: dict[str, str] = {}
     for r in rows:
         out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[:most]

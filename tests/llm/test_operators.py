@@ -376,6 +376,32 @@ def test_languages(spark):
     assert language.learn(df.limit(0)) == {} and {r.lang_pred for r in language.identify(df, {}).collect()} == {"und"}
 
 
+def test_many_alphabets_stay_apart():
+    """Two of the languages share their script with others that fill the frequent letters."""
+    rng = random.Random(12)
+    alphabets = {f"l{k}": "".join(chr(0x400 + 40 * k + j) for j in range(40) if chr(0x400 + 40 * k + j).isalpha() and chr(0x400 + 40 * k + j).lower() == chr(0x400 + 40 * k + j)) for k in range(8)}
+    alphabets |= {"han1": "".join(map(chr, range(0x4E00, 0x5200))), "han2": "".join(map(chr, range(0x5200, 0x5600)))}
+    alphabets = {k: v for k, v in alphabets.items() if len(v) >= 4}
+    parser = language.Parser({k: " ".join(rng_words(rng, 600, v)) for k, v in alphabets.items()})
+    for k, letters in alphabets.items():
+        assert [x for x, _ in parser.predict([" ".join(rng_words(rng, 40, letters)) for _ in range(20)])] == [k] * 20
+    one, two = parser.encode(alphabets["han1"][:2]), parser.encode(alphabets["han1"][2:4])
+    assert len(one) and one.tolist() != two.tolist()
+
+
+def test_every_language_is_learnt(spark):
+    rng = random.Random(13)
+    pool = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 7)) for _ in range(70)]
+    names = [f"x{k:02}" for k in range(70)]
+    texts = lambda k: " ".join(rng_words(rng, 120, pool[k]))
+    rows = [(1000 * k + j, texts(k), names[k]) for k in range(70) for j in range(24 if k < 69 else 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language.learn(df)
+    assert set(samples) == set(names)
+    got = language.identify(df.where("lang IN ('x00', 'x68', 'x69')"), samples).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
 # --- toxicity
 
 
