@@ -86,7 +86,9 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     no later is within the scope when the farthest end among those does not lie more
     than ``scope`` before; one that starts later, when the first start does not lie more
     than ``scope`` behind. So each part meets its nearest partners in one sweep, and a
-    text with many parts costs a sort, not its pairs.
+    text with many parts costs a sort, not its pairs. Only the nearest part of each role
+    is kept: others within the scope are in no ``partners`` of this part, though whether
+    a weak part is reported does not depend on them.
     """
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     role = F.element_at(F.create_map(*(F.lit(x) for kv in ROLE.items() for x in kv)), F.col("kind"))
