@@ -65,6 +65,17 @@ def _drop_staged() -> None:
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_name(taken: list[str], *wanted: str) -> str | list[str]:
+    """Names that no column of a caller has, whatever their case: each wanted one with as many underscores before it as it takes."""
+    low, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in low:
+            name = f"_{name}"
+        out.append(name)
+    return out[0] if len(out) == 1 else out
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row belongs to the evaluation fold: crc32 of its id as text, mod 4, is 2. A null id never does."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -329,6 +329,22 @@ def test_simhash_nulls_and_empty_tables(spark):
     assert simhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_large_tables_still_go_by_thresholds():
+    """Of five million unlike fingerprints, over nine tenths are probed by thresholds."""
+    rng = np.random.default_rng(15)
+    fps = rng.integers(0, 1 << 64, 5_000_000, dtype=np.uint64)
+    groups = simhash.group_bits(np.diag(np.full(64, len(fps) / 2)), len(fps), 3)
+    density, own, some = np.zeros((3, 1 << simhash.BINS), np.int64), np.zeros((20_000, 3)), fps[:20_000]
+    for k, bits in enumerate(groups):
+        value = simhash.value_of(fps, bits)
+        density[k] = np.bincount((value >> np.uint64(len(bits) - simhash.BINS)).astype(np.int64), minlength=1 << simhash.BINS)
+        count = np.bincount(value.astype(np.int64), minlength=1 << len(bits))
+        own[:, k] = count[simhash.value_of(some, bits).astype(np.int64)]
+    how = simhash.Plan(groups, density, len(fps))
+    thresholds, cost = how.thresholds(some, own)
+    assert (cost <= how.limit).mean() > 0.9 and (thresholds.sum(1) == 0).all()
+
+
 def test_thresholds_are_the_cheapest():
     rng = np.random.default_rng(9)
     cost = np.cumsum(rng.integers(0, 50, (200, 3, 4)), axis=2).astype(float)
