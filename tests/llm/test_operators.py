@@ -436,6 +436,61 @@ def test_toxicity_learns_and_holds(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.learn(docs, marks.limit(0))).collect()} == {0.0}
 
 
+def test_gains_are_what_matches_save():
+    """Without entropy coding a window's length is its literals and its matches, so a fragment of either dictionary saves bytes and any other word none."""
+    gains = toxicity.Gains(toxicity.content([b"nastyword", b"vileterm"]), toxicity.content([b"pleasant", b"ordinary"]))
+    assert gains.one(b"nastyword") > 2 < gains.one(b"vileterms") and gains.one(b"pleasant") < -2 > gains.one(b"ordinary")
+    rng = random.Random(21)
+    for _ in range(200):
+        word = "".join(rng.choice("bcfghjkmqxz") for _ in range(rng.randint(1, 14))).encode()
+        assert gains.one(word) == 0 and gains.one(b"nasty" + word) >= 1
+    assert gains.of("pleasant nastyword  zzz").tolist() == [gains.one(w) for w in (b"pleasant", b"nastyword", b"zzz")]
+    assert gains.of(None).tolist() == [] == gains.of(" \n").tolist()
+
+
+def test_fragments_match_brute_force():
+    """The counts, their weights and the order of the picked fragments, by their definitions."""
+    rng = random.Random(22)
+    texts = lambda extra, n: [" ".join(rng.choice([*extra, *"alpha beta gammas deltas epsilon".split()]) for _ in range(40)) for _ in range(n)]
+    toxic, clean = texts(["nastyword", "vile"], 30), texts([], 60)
+
+    def counts(docs):
+        having, times = {}, {}
+        for t in docs:
+            starts = [w[:k].encode() for w in t.split() for k in range(4, 13) if len(w) >= k]
+            for g in set(starts):
+                having[g] = having.get(g, 0) + 1
+                times[g] = times.get(g, 0) + min(3, starts.count(g))
+        return toxicity.Counts(len(docs), sum(map(len, docs)), toxicity.Counter(having), toxicity.Counter(times))
+
+    own, others = counts(toxic), counts(clean)
+    assert own.times == sum((toxicity.Counter(toxicity._fragments(t)) for t in toxic), toxicity.Counter())
+    picked = toxicity.distinctive(own, others)
+    assert set(picked) == {b"nastyword", b"vile"}
+    assert not set(toxicity.usual(others, picked, 40)) & set(picked)
+
+
+def test_scores_match_brute_force(spark):
+    """Every score over again from the model: gains word by word without a memo, features, logistic."""
+    rng = random.Random(23)
+    rows = [(k, " ".join(rng.choice(["nastyword", "plain", "words", "here", "zebra"][k % 3 and 1 :]) for _ in range(50))) for k in range(90)] + [(200, None), (200, ""), (201, "nastyword " * 30_000)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, id string, fold int")
+    model = toxicity.learn(docs, spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(90)], "doc_id long, toxic long"))
+    want = {}
+    for i, t in rows:
+        gains = toxicity.Gains(model.toxic, model.ordinary)
+        each = [gains.one(w.encode()) for w in (t or "").lower().split()]
+        over = [sum(g >= k for g in each) for k in toxicity.STEPS]
+        n = max(1, len(each))
+        x = [*(np.log1p(o) for o in over), *(min(1, 20 * o / n) for o in over), min(12, max([0, *each])), np.log(n)]
+        z = sum((a - m) / s * w for a, m, s, w in zip(x, model.mean, model.scale, model.weights, strict=False)) + model.weights[-1]
+        want[(i, t)] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows) and all(abs(r.score - want[(r.doc_id, r.text)]) < 1e-9 for r in got)
+    assert all(r.predicted == int(r.doc_id % 3 == 0) for r in got if r.doc_id < 90)
+    assert toxicity.score(docs.limit(0), model).collect() == []
+
+
 # --- SentencePiece
 
 
