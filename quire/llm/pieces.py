@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-A text's ids are its segmentation of greatest total piece score. The decoder reads one
-code point at a time and keeps only positions from which a piece may still grow, so the
-window is bounded by the longest piece. When the backpointer paths of all surviving
-positions meet in one boundary, everything before it is final and its ids are committed.
+A text's ids are its segmentation of greatest total piece score. The decoder grows pieces
+from one position after another, reads no further ahead than the longest piece, and keeps
+only what lies behind the last meeting of paths. When the backpointer paths of all
+surviving positions meet in one boundary, everything before it is final and its ids are
+committed.
 
 Bytes stand for code points without a piece, and for a literal U+2581, so decoding gives
 back the exact text.
@@ -11,6 +12,7 @@ back the exact text.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 from array import array
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, slices, table
+from .common import extended, table, text_slices
 
 MODEL = os.environ.get("QUIRE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
@@ -71,117 +73,130 @@ class Lexicon:
 
 
 def read_model(path: str) -> list[tuple[str, float, str]]:
+    """Pieces, scores and kinds by id.
+
+    A merge model has ranks for scores: they say which merge comes first and mean nothing
+    in a sum. They become log-probabilities by the Zipf-Mandelbrot law of ranks.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     kind = lambda i: "byte" if model.is_byte(i) else "unknown" if model.is_unknown(i) else "other" if model.is_control(i) or model.is_unused(i) else "normal"
-    return [(model.id_to_piece(i), model.get_score(i), kind(i)) for i in range(len(model))]
+    pieces = [(model.id_to_piece(i), model.get_score(i), kind(i)) for i in range(len(model))]
+    if all(score <= 0 and score == int(score) for _, score, of in pieces if of == "normal"):
+        return [(piece, _mandelbrot(score) if of == "normal" else score, of) for piece, score, of in pieces]
+    return pieces
+
+
+#: Offset of the law by which merge ranks become log-probabilities.
+RANK_OFFSET = 1000
 
 
-def viterbi(chars: Iterable[str], lexicon: Lexicon) -> Iterator[int]:
+def _mandelbrot(score: float) -> float:
+    """The log-probability, but for a constant, of the piece of rank ``-score``, in steps of 1/1024 so that sums are exact."""
+    return -round(1024 * math.log(RANK_OFFSET - score)) / 1024
+
+
+def viterbi(text: Iterable[str], lexicon: Lexicon) -> Iterator[int]:
     """Ids of the best segmentation, each as soon as it is certain.
 
-    Of paths with equal scores the one whose last piece is longest wins. ``score`` and
-    ``back`` hold the positions since the last commit; ``growing`` the starts from which
-    a piece still continues, so at most as many as the longest piece has code points.
+    ``text`` comes in strings of any lengths. Of paths with equal scores the one whose
+    last piece is longest wins. Pieces are grown from one position after another; the
+    window holds the positions that a piece has reached and those read ahead, the longest
+    piece at most. Where no piece that began earlier goes on, one position survives and
+    all paths meet in it. Otherwise, each time the window has grown by the longest piece,
+    the paths of all surviving positions are walked back to where they meet. Whatever
+    lies before a meeting is committed.
     """
-    trie, unknown = lexicon.trie, lexicon.unknown_score
-    first, pos = 0, 0  # code points committed, read
-    score: dict[int, float] = {0: 0.0}
-    back: dict[int, tuple[int, object]] = {}
-    growing: list[tuple[int, dict]] = []
-
-    def committed(upto: int) -> list[int]:
-        nonlocal first
-        path: list[object] = []
-        at = upto
-        while at > first:
-            at, piece = back[at]
-            path.append(piece)
-        for p in range(first, upto):
-            score.pop(p, None)
-            back.pop(p, None)
-        back.pop(upto, None)
-        first = upto
+    trie, unknown, longest, least = lexicon.trie, lexicon.unknown_score, lexicon.longest, float("-inf")
+    parts = iter(text)
+    window, more = next(parts, ""), True
+    score, back, via = [0.0] + [least] * len(window), [0] * (len(window) + 1), [0] * (len(window) + 1)  # by position in the window: best score, its piece's start, and the piece (-1: a code point without one)
+    here = reach = 0  # next position to grow from, farthest a piece has reached
+    checked = longest
+
+    def path(upto: int) -> list[int]:
         ids: list[int] = []
-        for piece in reversed(path):
-            ids.extend(lexicon.spell(piece) if isinstance(piece, str) else (piece,))
+        at = upto
+        while at:
+            start, piece = back[at], via[at]
+            if piece < 0:
+                ids.extend(reversed(lexicon.spell(window[start])))
+            else:
+                ids.append(piece)
+            at = start
+        ids.reverse()
         return ids
 
-    for c in chars:
-        best, via = None, None
-        still = []
-        single = False
-        for start, node in [*growing, (pos, trie)]:
-            node = node.get(c)
-            if node is None:
-                continue
-            if "" in node:
-                piece, gain = node[""]
-                total = score[start] + gain
-                single |= start == pos
-                if best is None or total > best:
-                    best, via = total, (start, piece)
-            if len(node) > ("" in node):
-                still.append((start, node))
-        if not single and (best is None or score[pos] + unknown > best):
-            best, via = score[pos] + unknown, (pos, c)
-        pos += 1
-        score[pos], back[pos] = best, via
-        growing = still
-        # the paths of the surviving positions, walked back from the farthest until one position is left
-        alive = {pos, *(start for start, _ in growing)}
-        while len(alive) > 1:
-            at = max(alive)
-            alive.remove(at)
-            alive.add(back[at][0] if at > first else first)
-            if len(alive) > 1 and min(alive) == first:
-                alive = {first}
-        if (meet := alive.pop()) > first:
-            yield from committed(meet)
-    yield from committed(pos)
-
-
-def closed_window(text: str, lexicon: Lexicon) -> list[int]:
-    """What ``viterbi`` gives for a short stretch between two boundaries where all paths meet, such as a word: one window, one commit."""
-    trie, unknown, n = lexicon.trie, lexicon.unknown_score, len(text)
-    least = float("-inf")
-    score, back, via = [0.0] + [least] * n, [0] * (n + 1), [0] * (n + 1)
-    for i in range(n):
-        so_far = score[i]
-        node, j, single = trie, i, False
-        while j < n:
-            node = node.get(text[j])
-            if node is None:
-                break
-            j += 1
-            end = node.get("")
-            if end is not None:
-                single |= j == i + 1
-                total = so_far + end[1]
-                if total > score[j]:
-                    score[j], back[j], via[j] = total, i, end[0]
-        if not single and so_far + unknown > score[i + 1]:
-            score[i + 1], back[i + 1], via[i + 1] = so_far + unknown, i, -1
-    ids: list[int] = []
-    at = n
-    while at:
-        start = back[at]
-        if via[at] < 0:
-            ids.extend(reversed(lexicon.spell(text[start])))
-        else:
-            ids.append(via[at])
-        at = start
-    ids.reverse()
-    return ids
-
-
-#: Code points of a word that goes through one closed window.
-SHORT = 64
+    while True:
+        size = len(window)
+        while more and size - here < longest:  # a piece from here may need this much
+            part = next(parts, None)
+            if part is None:
+                more = False
+            else:
+                window += part
+                size = len(window)
+                score += [least] * len(part)
+                back += [0] * len(part)
+                via += [0] * len(part)
+        if here:
+            meet = 0
+            if reach == here:
+                meet = here
+            elif here >= checked:
+                alive = {p for p in range(here, reach + 1) if score[p] > least}
+                while len(alive) > 1:
+                    at = max(alive)
+                    alive.remove(at)
+                    alive.add(back[at])
+                meet = alive.pop()
+                checked = here + longest
+            if meet:
+                yield from path(meet)
+                window = window[meet:]
+                score, via = score[meet:], via[meet:]
+                back = [0, *(b - meet for b in back[meet + 1 :])]
+                here, reach, checked, size = here - meet, reach - meet, longest, size - meet
+        if here == size:
+            return
+        so_far = score[here]
+        node, j, last = trie, here, here
+        if so_far > least:
+            while j < size:
+                node = node.get(window[j])
+                if node is None:
+                    break
+                j += 1
+                end = node.get("")
+                if end is not None:
+                    if last == here:
+                        first = j
+                    last = j
+                    total = so_far + end[1]
+                    if total > score[j]:
+                        score[j], back[j], via[j] = total, here, end[0]
+            if last == here or first > here + 1:  # no piece is this code point
+                if so_far + unknown > score[here + 1]:
+                    score[here + 1], back[here + 1], via[here + 1] = so_far + unknown, here, -1
+                if last == here:
+                    last += 1
+            if last > reach:
+                reach = last
+        here += 1
+
+
+#: Code points above which a word's ids are not remembered.
+LONG = 64
 
 
 class Encoder:
-    """Whole texts to ids. Words repeat, so their ids are remembered; memory is bounded by the size of the memo."""
+    """Whole texts to ids by the streaming decoder.
+
+    All paths meet at the ends of words (where the vocabulary says so), and what follows a
+    meeting does not depend on what came before, so a word's ids are remembered; memory is
+    bounded by the size of the memo.
+    """
 
     def __init__(self, lexicon: Lexicon, memo: int = MEMO) -> None:
         self.lexicon, self.memo = lexicon, memo
@@ -192,9 +207,9 @@ class Encoder:
     def word(self, text: str) -> bytes:
         ids = self.old.get(text)
         if ids is None:
-            if len(text) > SHORT:
-                return np.fromiter(viterbi(text, self.lexicon), np.int32).tobytes()
-            ids = array("i", closed_window(text, self.lexicon)).tobytes()
+            ids = array("i", viterbi((text,), self.lexicon)).tobytes()
+            if len(text) > LONG:
+                return ids
         if len(self.young) >= self.memo:
             self.old, self.young = self.young, {}
         self.young[text] = ids
@@ -206,7 +221,7 @@ class Encoder:
             return b""
         text = text.replace(SPACE, _LITERAL)
         if not self.lexicon.by_word or not self.newline:
-            return np.fromiter(viterbi(SPACE + text.replace(" ", SPACE), self.lexicon), np.int32).tobytes()
+            return array("i", viterbi((SPACE + text.replace(" ", SPACE),), self.lexicon)).tobytes()
         out: list[bytes] = []
         known, word = self.young.get, self.word
         for k, line in enumerate(text.split("\n")):
@@ -260,7 +275,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: st
 
     def run(batches):
         encoder = Encoder(lexicon())
-        for batch in slices(batches):
+        for batch in text_slices(batches, text_col):
             packed = [encoder.encode(t) for t in batch.column(text_col).to_pylist()]
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
@@ -269,6 +284,19 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: st
     return df.mapInArrow(run, extended(df, (ids_col, "array<int>")))
 
 
+def _id_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of no more ids than ``most`` (one row at least)."""
+    for batch in batches:
+        start, held = 0, 0
+        for row, size in enumerate(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_pylist()):
+            if row > start and held + size > most:
+                yield batch.slice(start, row - start)
+                start, held = row, 0
+            held += size
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str = MODEL) -> DataFrame:
     """All columns plus the decoded text; null ids give an empty text. An existing column of that name is replaced."""
     df = df.drop(text_col)
@@ -277,7 +305,7 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path:
 
     def run(batches):
         of = lexicon()
-        for batch in slices(batches):
+        for batch in _id_slices(batches, ids_col):
             column = batch.column(ids_col)
             flat = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
             ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
