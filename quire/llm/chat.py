@@ -106,8 +106,8 @@ def format_turns(df: DataFrame, content_col: str = "content", role_col: str = "r
 
     ``content_col`` is an array of PART, or a string that stands for one text part.
     A conversation is its formatted turns in order, so turns are formatted where they
-    lie and none needs its neighbours. Null content is empty. Existing columns of these
-    names are replaced.
+    lie and none needs its neighbours, repeated rows agree, and an empty table stays empty.
+    Null content is empty. Existing columns of these names are replaced.
     """
     from pyspark.sql.pandas.types import from_arrow_type
 

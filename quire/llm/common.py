@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: A word is a run of code points other than space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a Python worker turns into Python objects at once.
-SLICE_ROWS = 256
+SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -52,15 +52,29 @@ def stage(df: DataFrame) -> DataFrame:
     if not _staged:
         atexit.register(_drop_staged)
     _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "staged_at", None)
+        if path and (df.sparkSession, path) in _staged:
+            _staged.remove((df.sparkSession, path))
+            _delete(df.sparkSession, path)
 
 
 def _drop_staged() -> None:
     while _staged:
         spark, path = _staged.pop()
-        context = spark.sparkContext
-        if getattr(context, "_jsc", None) is None:  # the session has ended
-            continue
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if getattr(context, "_jsc", None) is not None:  # else the session has ended
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -82,10 +96,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most SLICE_ROWS."""
+    """The same rows in batches of at most SLICE_ROWS rows and SLICE_BYTES bytes (one row at least)."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        todo = [batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def extended(df: DataFrame, *fields: tuple[str, object]) -> T.StructType:

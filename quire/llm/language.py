@@ -2,8 +2,9 @@
 
 A suffix automaton of each language's labelled text gives, from any position, the longest
 stretch that occurs in that text. Cutting a text greedily into such stretches (Ziv and
-Merhav's cross-parsing) takes the fewer phrases the nearer the language; the language
-with the fewest per code point wins.
+Merhav's cross-parsing) takes the fewer phrases the nearer the language. Phrases grow with
+the logarithm of the sample's length, so their number times that logarithm estimates the
+entropy, whatever the sample; the language with the least wins.
 
 Workers build the automata from the sample texts, which are short, and parse many texts
 in step: one lane per text and language, one table lookup per code point. Where few long
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import extended, held_out, table, text_slices
 
-#: Code points of sample text: of one language, of all together, of one document.
-LANGUAGE_CHARS, ALL_CHARS, DOCUMENT_CHARS = 40_000, 400_000, 1_500
+#: Code points of sample text: of one language, of all together.
+LANGUAGE_CHARS, ALL_CHARS = 40_000, 400_000
 #: Documents asked for from a language.
 DOCUMENTS = 60
 #: Letters with a symbol of their own, the most frequent of the sample. The sample's others are numbers of DIGITS more symbols.
@@ -107,7 +108,7 @@ class Parser:
         self._rare[[ord(c) for c in rare]] = np.arange(len(rare))
         self._known = np.zeros(0x110000, bool)
         self._known[[ord(c) for c in (*letters, *rare)]] = True
-        self._known[:128] = True
+        self._known[[k for k in range(128) if not chr(k).isalpha()]] = True
         self._other = other
         tables, roots, base = [], [], 0
         for k in self.languages:
@@ -129,6 +130,9 @@ class Parser:
             raise ValueError("the sample is too large for the table")
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.uint32)
         self.roots = np.array(roots, np.uint32)
+        #: By language: the logarithm of its sample's size, in which the length of a phrase grows, over the greatest.
+        self.norm = np.log([1 + len(texts[k]) for k in self.languages])
+        self.norm /= self.norm.max(initial=1e-9)
         self._scalar = memoryview(self.table)
 
     def _symbols(self, points: np.ndarray) -> np.ndarray:
@@ -159,7 +163,7 @@ class Parser:
         keep = ~space
         keep[1:] |= space[1:] & ~space[:-1]
         symbols = symbols[keep]
-        return symbols if symbols.any() else symbols[:0]
+        return symbols if symbols.any() and any(map(str.isalpha, text)) else symbols[:0]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (row) in each language (column)."""
@@ -199,7 +203,7 @@ class Parser:
         coded = [self.encode(t) for t in texts]
         if not self.languages:
             return [(NONE, 0.0)] * len(texts)
-        phrases = self.phrases(coded)
+        phrases = self.phrases(coded) * self.norm
         out = []
         for symbols, row in zip(coded, phrases, strict=True):
             if not len(symbols):
@@ -226,25 +230,37 @@ def learn(docs: DataFrame) -> dict[str, str]:
 
     A language's rows are counted first; rows whose hash lies below DOCUMENTS / count are
     its sample, so about DOCUMENTS rows of each reach the driver whatever the corpus, and the same
-    ones each time. Every language is learnt; what is over LANGUAGE_CHARS, or ALL_CHARS
-    shared by the languages, is cut from its sample.
+    ones each time. Every language is learnt. Its sample holds LANGUAGE_CHARS, or its share
+    of ALL_CHARS: whole texts, in order of their hash, that fit in what is left of it. Of
+    a text longer than that altogether a stretch from a place that its hash tells is drawn,
+    which counts only where no whole text fits.
     """
-    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", F.substring("text", 1, DOCUMENT_CHARS).alias("text"))
+    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     counts = own.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return {}
     hashed = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 30))
     below = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, DOCUMENTS / r["count"]) * (1 << 30))))), F.col("lang"))
     most = max(1, min(LANGUAGE_CHARS, ALL_CHARS // len(counts)))
-    rows = own.where(hashed < below).withColumns({"__hash": hashed, "text": F.substring("text", 1, most)}).orderBy("__hash", "text").limit(3 * DOCUMENTS * len(counts)).collect()
+    rows = own.where(hashed < below).select("lang", hashed.alias("hash"), F.length("text").alias("size"), "text")
+    place = 1 + F.pmod(F.col("hash"), F.greatest(F.lit(1), F.col("size") - most))
+    rows = rows.withColumn("text", F.when(F.col("size") > most, F.substr("text", place.cast("int"), F.lit(most))).otherwise(F.col("text")))
+    rows = rows.orderBy(F.col("size") > most, "hash", "text").limit(3 * DOCUMENTS * len(counts)).collect()
     out: dict[str, str] = {}
     for r in rows:
-        out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[:most]
+        held = out.setdefault(r["lang"], "")
+        if len(held) + len(r["text"]) < most or not held:
+            out[r["lang"]] = f"{held} {r['text']}"
     return out
 
 
 def identify(df: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
-    """All columns plus ``lang_pred`` and ``score``; see ``Parser.predict``. Existing columns of these names are replaced."""
+    """All columns plus ``lang_pred`` and ``score``; see ``Parser.predict``.
+
+    Null texts and texts without a letter are ``und``; letters that no language was learnt
+    with are letters nonetheless. Existing columns of these names are replaced. Rows are
+    read one by one, so repeated rows agree and an empty table stays empty.
+    """
     df = df.drop("lang_pred", "score")
     own = df.columns
 

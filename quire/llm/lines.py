@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, stage, table, text_slices
+from .common import extended, free_name, stage, table, text_slices
 
 #: Lines whose hashes the rolling hash covers; a boundary follows on average every DIVISOR-th line.
 WINDOW, DIVISOR = 2, 2
@@ -86,8 +86,8 @@ NO_ID = (1 << 63) - 1
 
 
 def _explode(df: DataFrame, id_col: str, text_col: str, pieces=_chunks) -> DataFrame:
-    """``(__id, __hash, __chunk)``: one row for each different chunk (or what ``pieces`` gives) of a row."""
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"), F.col(text_col).alias("__text"))
+    """``(__id, __name, __hash, __chunk)``: one row for each different chunk (or what ``pieces`` gives) of a row. ``__name`` tells texts apart that share an id."""
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"), F.xxhash64(text_col).alias("__name"), F.col(text_col).alias("__text"))
 
     def run(batches):
         for batch in text_slices(batches, "__text"):
@@ -97,10 +97,10 @@ def _explode(df: DataFrame, id_col: str, text_col: str, pieces=_chunks) -> DataF
                     at.append(row)
                     hashes.append(h)
                     chunks.append(c)
-            ids = batch.column("__id").take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(hashes, pa.string()), pa.array(chunks, pa.string())], ["__id", "__hash", "__chunk"])
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("__id").take(take), batch.column("__name").take(take), pa.array(hashes, pa.string()), pa.array(chunks, pa.string())], ["__id", "__name", "__hash", "__chunk"])
 
-    return rows.mapInArrow(run, "__id long, __hash string, __chunk string")
+    return rows.mapInArrow(run, "__id long, __name long, __hash string, __chunk string")
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces=_chunks) -> DataFrame:
@@ -115,45 +115,45 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", piec
 
 
 def runs(df: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(__id, __hash)``: the runs of at least ``least`` words (see ``spans``) of lines that other documents have too.
+    """``(__id, __name, __hash)``: the runs of at least ``least`` words (see ``spans``) of lines that other documents have too.
 
     Blank lines count for nothing. A run is named by its lines, each held against the
     others by its bytes, so equal names are equal lines.
     """
     shared = repeated(df, id_col, text_col, _lines).select("__hash")
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"), F.col(text_col).alias("__text"))
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"), F.xxhash64(text_col).alias("__name"), F.col(text_col).alias("__text"))
 
     def skeleton(batches):
         for batch in text_slices(batches, "__text"):
-            at, names, places, hashes, sizes = [], [], [], [], []
+            at, places, hashes, sizes = [], [], [], []
             for row, text in enumerate(batch.column("__text").to_pylist()):
                 lines = [line for line in (text or "").split("\n") if line.strip()]
                 at += [row] * len(lines)
-                names += [xxhash.xxh3_128_hexdigest(text.encode())] * len(lines) if lines else []
                 places += range(len(lines))
                 hashes += [xxhash.xxh3_128_hexdigest(line.encode()) for line in lines]
                 sizes += [len(line.split()) for line in lines]
-            ids = batch.column("__id").take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(places, pa.int32()), pa.array(hashes, pa.string()), pa.array(sizes, pa.int32())], ["__id", "__name", "place", "__hash", "words"])
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("__id").take(take), batch.column("__name").take(take), pa.array(places, pa.int32()), pa.array(hashes, pa.string()), pa.array(sizes, pa.int32())], ["__id", "__name", "place", "__hash", "words"])
 
-    found = rows.mapInArrow(skeleton, "__id long, __name string, place int, __hash string, words int").join(shared, "__hash")
+    found = rows.mapInArrow(skeleton, "__id long, __name long, place int, __hash string, words int").join(shared, "__hash")
     texts = found.groupBy("__id", "__name").agg(F.sort_array(F.collect_set(F.struct("place", "__hash", "words"))).alias("__lines"), F.sum("words").alias("__words"))
 
     def name(batches):
         for batch in batches:
-            ids, keys = [], []
-            for i, lines in zip(batch.column("__id").to_pylist(), batch.column("__lines").to_pylist(), strict=True):
+            at, keys = [], []
+            for i, lines in enumerate(batch.column("__lines").to_pylist()):
                 start, own = 0, set()
                 for end in range(1, len(lines) + 1):
                     if end == len(lines) or lines[end]["place"] != lines[end - 1]["place"] + 1:
                         run = lines[start:end]
                         own.update(_run_key([x["__hash"] for x in run[a:b]]) for a, b in spans([x["words"] for x in run], least))
                         start = end
-                ids += [i] * len(own)
+                at += [i] * len(own)
                 keys += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], ["__id", "__hash"])
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("__id").take(take), batch.column("__name").take(take), pa.array(keys, pa.string())], ["__id", "__name", "__hash"])
 
-    return texts.where(F.col("__words") >= least).select("__id", "__lines").mapInArrow(name, "__id long, __hash string")
+    return texts.where(F.col("__words") >= least).select("__id", "__name", "__lines").mapInArrow(name, "__id long, __name long, __hash string")
 
 
 def prune(text: str, gone: set[str], least: int | None = None) -> tuple[str, int]:
@@ -200,17 +200,20 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_w
     df = df.drop("removed_lines")
     own = df.columns
     first = stage(repeated(df, id_col, text_col))
-    gone = _explode(df, id_col, text_col).select("__id", "__hash").join(first, "__hash").where("__id != __first").select("__id", "__hash")
+    gone = _explode(df, id_col, text_col).select("__id", "__name", "__hash").join(first, "__hash").where("__id != __first").select("__id", "__name", "__hash")
     if least_words:
         own_runs = stage(runs(df, least_words, id_col, text_col))
         known = own_runs.groupBy("__hash").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first < __last")
-        gone = gone.unionByName(own_runs.join(known, "__hash").where("__id != __first").select("__id", "__hash"))
-    gone = gone.groupBy("__id").agg(F.collect_set("__hash").alias("__gone"))
-    joined = df.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(gone, F.col("__key") == F.col("__id"), "left").select(*own, "__gone")
+        gone = gone.unionByName(own_runs.join(known, "__hash").where("__id != __first").select("__id", "__name", "__hash"))
+    key, name, gone_col = free_name(own, "key", "name", "gone")
+    gone = gone.groupBy("__id", "__name").agg(F.collect_set("__hash").alias("__gone"))  # chunks and runs of one text
+    gone = gone.select(F.col("__id").alias(f"{key}_"), F.col("__name").alias(f"{name}_"), F.col("__gone").alias(gone_col))
+    keyed = df.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), name: F.xxhash64(text_col)})
+    joined = keyed.join(gone, (F.col(key) == F.col(f"{key}_")) & (F.col(name) == F.col(f"{name}_")), "left").select(*(F.col(f"`{c}`") for c in own), gone_col)
 
     def run(batches):
         for batch in text_slices(batches, text_col):
-            both = [prune(t, set(g or ()), least_words) if t else (t, 0) for t, g in zip(batch.column(text_col).to_pylist(), batch.column("__gone").to_pylist(), strict=True)]
+            both = [prune(t, set(g or ()), least_words) if t else (t, 0) for t, g in zip(batch.column(text_col).to_pylist(), batch.column(gone_col).to_pylist(), strict=True)]
             cols = [pa.array([t for t, _ in both], pa.string()) if c == text_col else batch.column(c) for c in own]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in both], pa.int64())], [*own, "removed_lines"])
 

@@ -122,16 +122,92 @@ def _times(data: memoryview, span: tuple[int, int]) -> tuple[int, int]:
     return struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
 
 
-def _track(data: memoryview, trak: dict) -> dict:
+def _compact_sizes(data: memoryview, span: tuple[int, int]) -> list[int]:
+    """The sizes of stz2: fields of 4, 8 or 16 bits."""
+    a, b = span
+    bits, (n,) = data[a + 7], struct.unpack_from(">I", data, a + 8)
+    if bits not in (4, 8, 16) or n * bits > 8 * (b - a - 12):
+        raise ValueError(f"{n} sizes of {bits} bits do not fit in {b - a} bytes")
+    raw = data[a + 12 : a + 12 + -(-n * bits // 8)]
+    if bits == 4:
+        return [x for byte in raw for x in (byte >> 4, byte & 15)][:n]
+    return [x for (x,) in struct.iter_unpack(">H" if bits == 16 else ">B", raw)]
+
+
+class _Fields:
+    """Reads the fields of a full box one after another, those that its flags promise."""
+
+    def __init__(self, data: memoryview, span: tuple[int, int]) -> None:
+        self.data, (self.at, self.end) = data, span
+        self.flags = self.take(">I") & 0xFFFFFF
+
+    def take(self, form: str, flag: int = 0, default: int = 0) -> int:
+        if flag and not self.flags & flag:
+            return default
+        size = struct.calcsize(form)
+        if self.at + size > self.end:
+            raise ValueError("a box ends before its fields")
+        self.at += size
+        return struct.unpack_from(form, self.data, self.at - size)[0]
+
+
+def _fragments(data: memoryview, moov: dict) -> dict[int, list[tuple[int, int, int, bool]]]:
+    """By track: offset, size, duration and whether it is a keyframe, of the samples in movie fragments."""
+    defaults = {}
+    for mvex in moov.get(b"mvex", []):
+        for span in mvex.get(b"trex", []):
+            box_ = _Fields(data, span)
+            track, _, duration, size, flags = (box_.take(">I") for _ in range(5))
+            defaults[track] = (duration, size, flags)
+    out: dict[int, list[tuple[int, int, int, bool]]] = {}
+    for kind, start, end in walk(data):
+        if kind != b"moof":
+            continue
+        moof_at = start - (16 if struct.unpack_from(">I", data, start - 16)[0] == 1 and data[start - 12 : start - 8] == b"moof" else 8)
+        after = moof_at  # where a run without an offset goes on
+        for traf in _tree(data, start, end).get(b"traf", []):
+            head = _Fields(data, traf[b"tfhd"][0])
+            track = head.take(">I")
+            base = head.take(">Q", 0x1, moof_at if head.flags & 0x20000 else after)
+            head.take(">I", 0x2)
+            duration, size, flags = (head.take(">I", flag, default) for flag, default in zip((0x8, 0x10, 0x20), defaults.get(track, (0, 0, 0)), strict=True))
+            at = base
+            for span in traf.get(b"trun", []):
+                run = _Fields(data, span)
+                n = run.take(">I")
+                at = base + run.take(">i", 0x1) if run.flags & 0x1 else at
+                first = run.take(">I", 0x4, -1)
+                row = 4 * sum(bool(run.flags & f) for f in (0x100, 0x200, 0x400, 0x800))
+                if n * row > run.end - run.at or not row and n * max(1, size) > len(data):
+                    raise ValueError(f"a run of {n} samples does not fit")
+                for k in range(n):
+                    own_duration, own_size = run.take(">I", 0x100, duration), run.take(">I", 0x200, size)
+                    own_flags = run.take(">I", 0x400, first if k == 0 and first >= 0 else flags)
+                    run.take(">I", 0x800)
+                    if at < 0 or at + own_size > len(data):
+                        raise ValueError("a sample lies outside the file")
+                    out.setdefault(track, []).append((at, own_size, own_duration, not own_flags & 0x10000))
+                    at += own_size
+            after = at
+    return out
+
+
+def _track(data: memoryview, trak: dict, fragments: dict[int, list[tuple[int, int, int, bool]]]) -> dict:
     mdia = trak[b"mdia"][0]
     stbl = mdia[b"minf"][0][b"stbl"][0]
     timescale, duration = _times(data, mdia[b"mdhd"][0])
     handler = bytes(data[mdia[b"hdlr"][0][0] + 8 :][:4]) if b"hdlr" in mdia else b""
     a, b = stbl[b"stsd"][0]
     codecs = [kind for kind, _, _ in walk(data, a + 8, b)]
-    a, _ = stbl[b"stsz"][0]
-    fixed, n = struct.unpack_from(">II", data, a + 4)
-    sizes = [fixed] * n if fixed else [x for (x,) in _entries(data, stbl[b"stsz"][0], ">I", 8)]
+    if b"stz2" in stbl:
+        fixed, n, sizes = 0, 0, _compact_sizes(data, stbl[b"stz2"][0])
+    else:
+        fixed, n = struct.unpack_from(">II", data, stbl[b"stsz"][0][0] + 4)
+        sizes = None
+    if fixed * n > len(data):
+        raise ValueError(f"{n} samples of {fixed} bytes do not fit in the file")
+    if sizes is None:
+        sizes = [fixed] * n if fixed else [x for (x,) in _entries(data, stbl[b"stsz"][0], ">I", 8)]
     if b"co64" in stbl:
         offsets = [x for (x,) in _entries(data, stbl[b"co64"][0], ">Q")]
     else:
@@ -151,7 +227,13 @@ def _track(data: memoryview, trak: dict) -> dict:
     keys = [x for (x,) in _entries(data, stbl[b"stss"][0], ">I")] if b"stss" in stbl else range(1, len(ranges) + 1)
     if any(not 1 <= k <= len(ranges) for k in keys):
         raise ValueError("a sync sample is outside the track")
-    return {"codec": codecs[0].decode("latin-1") if codecs else "", "handler": handler.decode("latin-1"), "timescale": timescale, "duration": duration or spent, "n_samples": len(ranges), "samples": ranges, "keyframes": [ranges[k - 1] for k in keys]}
+    keyframes = [ranges[k - 1] for k in keys]
+    a, _ = trak[b"tkhd"][0]
+    more = fragments.get(struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0], [])
+    ranges += [(at, size) for at, size, _, _ in more]
+    keyframes += [(at, size) for at, size, _, key in more if key]
+    whole = spent + sum(d for _, _, d, _ in more) if more else duration or spent
+    return {"codec": codecs[0].decode("latin-1") if codecs else "", "handler": handler.decode("latin-1"), "timescale": timescale, "duration": whole, "n_samples": len(ranges), "samples": ranges, "keyframes": keyframes}
 
 
 def parse_file(blob: bytes | None) -> tuple[list[dict], str | None]:
@@ -161,7 +243,7 @@ def parse_file(blob: bytes | None) -> tuple[list[dict], str | None]:
     data = memoryview(blob)
     try:
         top = _tree(data, 0, len(data))
-        return [_track(data, trak) for moov in top.get(b"moov", []) for trak in moov.get(b"trak", [])], None
+        return [_track(data, trak, _fragments(data, moov)) for moov in top.get(b"moov", []) for trak in moov.get(b"trak", [])], None
     except (ValueError, KeyError, IndexError, TypeError, struct.error) as e:
         return [], f"{type(e).__name__}: {e}"
 
@@ -198,6 +280,7 @@ def to_media(df: DataFrame, text_col: str = "text", media_col: str = "media") ->
     """All columns plus the text as media: UTF-8, padded with bytes 255 to whole units, wrapped. Null counts as empty.
 
     ``n_bytes`` is the length before padding. Existing columns of these names are replaced.
+    Rows are stored one by one, so repeated rows agree and an empty table stays empty.
     """
     df = df.drop(media_col, "n_bytes")
     own = df.columns

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, free_name, stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -67,22 +67,23 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     rows = rows.drop("source_size", "target", "taken")
     own = rows.columns
-    keyed = rows.withColumns({"__source": F.col(source_col), "__size": F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")), "__key": key})
-    keyed = stage(keyed.withColumn("__range", F.substring("__key", 1, RANGE_DIGITS)))
-    ranges = keyed.groupBy("__source", "__range").agg(F.sum("__size").alias("__range_size"))
-    sizes = ranges.groupBy(F.col("__source").alias("source")).agg(F.sum("__range_size").alias("source_size"))
-    in_order = W.partitionBy("__source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = ranges.withColumn("__before", F.coalesce(F.sum("__range_size").over(in_order), F.lit(0).cast("long")))
+    source, size, named, range_, end, of, start_range, before = free_name(own, "source", "size", "key", "range", "end", "of", "of_range", "before")
+    keyed = rows.withColumns({source: F.col(source_col), size: F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")), named: key})
+    keyed = stage(keyed.withColumn(range_, F.substring(named, 1, RANGE_DIGITS)))
+    ranges = keyed.groupBy(F.col(source).alias("of"), F.col(range_).alias("range")).agg(F.sum(size).alias("range_size"))
+    sizes = ranges.groupBy(F.col("of").alias("source")).agg(F.sum("range_size").alias("source_size"))
+    in_order = W.partitionBy("of").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(in_order), F.lit(0).cast("long")))
     goal = targets(sizes, weights, share, most_epochs)
-    ranges = ranges.join(goal, F.col("__source").eqNullSafe(F.col("source"))).select(F.col("__source").alias("__s"), F.col("__range").alias("__r"), "__before", "source_size", "target")
-    by_key = W.partitionBy("__source", "__range").orderBy("__key", "__size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = keyed.withColumn("__end", F.sum("__size").over(by_key))
-    placed = placed.join(ranges, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
+    ranges = ranges.join(goal, F.col("of").eqNullSafe(F.col("source"))).select(F.col("of").alias(of), F.col("range").alias(start_range), F.col("before").alias(before), "source_size", "target")
+    by_key = W.partitionBy(source, range_).orderBy(named, size).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = keyed.withColumn(end, F.sum(size).over(by_key))
+    placed = placed.join(ranges, F.col(source).eqNullSafe(F.col(of)) & (F.col(range_) == F.col(start_range)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
-    start = F.col("__before") + F.col("__end") - F.col("__size")
-    taken = epochs * F.col("__size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("__size"), rest - start))
-    return placed.select(*own, "source_size", "target", taken.alias("taken"))
+    start = F.col(before) + F.col(end) - F.col(size)
+    taken = epochs * F.col(size) + F.greatest(F.lit(0).cast("long"), F.least(F.col(size), rest - start))
+    return placed.select(*(F.col(f"`{c}`") for c in own), "source_size", "target", taken.alias("taken"))
 
 
 def repeat(mixed: DataFrame, size_col: str = "size") -> DataFrame:
@@ -94,7 +95,8 @@ def repeat(mixed: DataFrame, size_col: str = "size") -> DataFrame:
     """
     size = F.coalesce(F.col(size_col).cast("double"), F.lit(0.0))
     copies = F.when(size > 0, F.round(F.col("taken") / size)).otherwise(F.lit(1.0)).cast("int")
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).drop("__copy")
+    copy = free_name(mixed.columns, "copy")
+    return mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).drop(copy)
 
 
 def op9_mix(spark, sf_dir: str) -> DataFrame:

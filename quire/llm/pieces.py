@@ -97,6 +97,10 @@ def _mandelbrot(score: float) -> float:
     return -round(1024 * math.log(RANK_OFFSET - score)) / 1024
 
 
+#: Code points that enter the window at once.
+BLOCK = 256
+
+
 def viterbi(text: Iterable[str], lexicon: Lexicon) -> Iterator[int]:
     """Ids of the best segmentation, each as soon as it is certain.
 
@@ -104,12 +108,12 @@ def viterbi(text: Iterable[str], lexicon: Lexicon) -> Iterator[int]:
     last piece is longest wins. Pieces are grown from one position after another; the
     window holds the positions that a piece has reached and those read ahead, the longest
     piece at most. Where no piece that began earlier goes on, one position survives and
-    all paths meet in it. Otherwise, each time the window has grown by the longest piece,
-    the paths of all surviving positions are walked back to where they meet. Whatever
-    lies before a meeting is committed.
+    all paths meet in it. Otherwise, once the window holds the longest piece, and again
+    each time it has doubled, the paths of all surviving positions are walked back to
+    where they meet. Whatever lies before a meeting is committed.
     """
     trie, unknown, longest, least = lexicon.trie, lexicon.unknown_score, lexicon.longest, float("-inf")
-    parts = iter(text)
+    parts = (part[k : k + BLOCK] for part in text for k in range(0, len(part), BLOCK))
     window, more = next(parts, ""), True
     score, back, via = [0.0] + [least] * len(window), [0] * (len(window) + 1), [0] * (len(window) + 1)  # by position in the window: best score, its piece's start, and the piece (-1: a code point without one)
     here = reach = 0  # next position to grow from, farthest a piece has reached
@@ -151,7 +155,7 @@ def viterbi(text: Iterable[str], lexicon: Lexicon) -> Iterator[int]:
                     alive.remove(at)
                     alive.add(back[at])
                 meet = alive.pop()
-                checked = here + longest
+                checked = 2 * here  # paths that never meet cost a walk for each doubling
             if meet:
                 yield from path(meet)
                 window = window[meet:]

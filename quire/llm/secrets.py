@@ -56,15 +56,14 @@ def _matches(text: Column, kind: str) -> Column:
 
 
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows without their text, staged: matches by kind, and ``__text``, a digest that stands for the text where it has any match.
+    """The rows without their text, as ``own``, staged: matches by kind, and ``__text``, a digest that stands for the text where it has any match.
 
     The only pass over the texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.withColumns({f"__{k}": _matches(text, k) for k in KINDS})
+    out = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("own"), text.alias("text"), *(_matches(text, k).alias(f"__{k}") for k in KINDS))
     matched = reduce(or_, (F.col(f"__{k}").isNotNull() for k in KINDS))
-    out = out.withColumn("__text", F.when(matched, F.sha2(text.cast("binary"), 256)))
-    return stage(out.drop(text_col))
+    return stage(out.withColumn("__text", F.when(matched, F.sha2(F.col("text").cast("binary"), 256))).drop("text"))
 
 
 def parts(scanned: DataFrame) -> DataFrame:
@@ -125,15 +124,14 @@ def find_secrets(df: DataFrame, text_col: str = "text", scope: int = SCOPE) -> D
     keys. An existing column ``secrets`` is replaced.
     """
     df = df.drop("secrets")
-    own = [c for c in df.columns if c != text_col]
     scanned = scan(df, text_col)
     linked = link(parts(scanned), scope).where("reported")
     item = F.struct("start", F.col("__rank").alias("rank"), "end", "kind", "partners")
     by_text = linked.groupBy(F.col("__text").alias("__t")).agg(F.sort_array(F.collect_list(item)).alias("secrets"))
     kind = by_text.schema["secrets"].dataType
-    hit = scanned.where(F.col("__text").isNotNull()).select(*own, "__text")
-    hit = hit.join(by_text, F.col("__text") == F.col("__t"), "left").select(*own, F.coalesce("secrets", F.array().cast(kind)).alias("secrets"))
-    return hit.unionByName(scanned.where(F.col("__text").isNull()).select(*own, F.array().cast(kind).alias("secrets")))
+    hit = scanned.where(F.col("__text").isNotNull()).select("own", "__text")
+    hit = hit.join(by_text, F.col("__text") == F.col("__t"), "left").select("own.*", F.coalesce("secrets", F.array().cast(kind)).alias("secrets"))
+    return hit.unionByName(scanned.where(F.col("__text").isNull()).select("own.*", F.array().cast(kind).alias("secrets")))
 
 
 def _joined(items: Column) -> Column:

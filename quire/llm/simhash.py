@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, free_name, stage, table, text_slices
+from .common import extended, free_name, stage, table, text_slices, unstage
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints from which partitions are two (32 bits) instead of three: three would meet over 200 by chance.
@@ -337,15 +337,17 @@ def components(edges: DataFrame) -> DataFrame:
     both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = stage(both.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("m")).select("fp", F.least("fp", "m").alias("root")))
     while True:
+        before = labels
         seen = both.join(labels.select(F.col("fp").alias("b"), "root"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("near"))
         lower = labels.join(seen, "fp").select("fp", F.col("root").alias("was"), F.least("root", "near").alias("low"))
         lower = stage(lower)
         jump = lower.select(F.col("fp").alias("low"), F.col("low").alias("beyond"))
         stepped = stage(lower.join(jump, "low", "left").select("fp", "was", F.least("low", "beyond").alias("root")))
-        changed = stepped.where("root != was").limit(1).count()
-        labels = stepped.select("fp", "root")
-        if not changed:
-            return labels
+        unstage(lower, before)
+        labels = stepped
+        if not stepped.where("root != was").limit(1).count():
+            unstage(both)
+            return labels.select("fp", "root")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
