@@ -31,7 +31,9 @@ SPACE = "▁"
 #: Stands for a literal U+2581 while encoding; no valid text holds a lone surrogate.
 _LITERAL = "\udbff"
 #: Words whose ids a worker remembers, in two generations of this many.
-MEMO = 250_000
+MEMO = 160_000
+#: Bytes of text that a worker turns into Python objects at once (one row at least).
+TEXT_BYTES = 1 << 20
 
 
 class Lexicon:
@@ -279,7 +281,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: st
 
     def run(batches):
         encoder = Encoder(lexicon())
-        for batch in text_slices(batches, text_col):
+        for batch in text_slices(batches, text_col, TEXT_BYTES):
             packed = [encoder.encode(t) for t in batch.column(text_col).to_pylist()]
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
@@ -288,7 +290,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: st
     return df.mapInArrow(run, extended(df, (ids_col, "array<int>")))
 
 
-def _id_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _id_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = TEXT_BYTES // 4) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of no more ids than ``most`` (one row at least)."""
     for batch in batches:
         start, held = 0, 0
