@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .paragraphs import Leading
+
 ROTATION, BASELINE_TOLERANCE = 5.0, 0.3
 SPACE_RATIO, SUPER_RISE, SUPER_SIZE = 0.25, 0.2, 0.85
 OPEN, CLOSE = "", ""
@@ -136,28 +138,26 @@ def reading_order(lines: DataFrame, cuts: DataFrame) -> DataFrame:
 def segment_blocks(lines: DataFrame) -> DataFrame:
     """Ordered lines with ``block``: a break at a wide gap, another size or family, a step back, or too little overlap.
 
-    The usual leading is the median of those seen in the block so far and the bounds grow
-    with it, so a page is a fold over its lines; pages are grouped, lines are few.
+    The usual leading is the median of those seen in the block so far, or 1.2 sizes where
+    that is not positive, and the bounds grow with it, so a page is a fold over its lines; pages are grouped, lines are few.
     """
     def fold(key, page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values("ord").reset_index(drop=True)
-        block, out = -1, []
-        leads: list[float] = []
+        block, out, leading = -1, [], Leading()
         left = right = 0.0
         prev = None
         for r in page.itertuples():
             opens = prev is None
             if not opens:
                 gap = r.baseline - prev.baseline
-                usual = sorted(leads)[len(leads) // 2] if len(leads) % 2 else (sum(sorted(leads)[len(leads) // 2 - 1 : len(leads) // 2 + 1]) / 2 if leads else 1.2 * max(prev.size, r.size))
-                overlap = min(right, r.max_x) - max(left, r.min_x)
-                narrow = min(right - left, r.max_x - r.min_x)
-                largest = max(prev.size, r.size)
-                opens = gap < 0 or gap > 1.5 * usual or (largest > 0 and abs(prev.size - r.size) / largest > 0.15) or r.family != prev.family or (narrow > 0 and overlap / narrow < 0.5)
+                largest = max(abs(prev.size), abs(r.size))
+                shared, narrow = min(right, r.max_x) - max(left, r.min_x), min(right - left, r.max_x - r.min_x)
+                overlap = 0.0 if shared <= 0 else shared / narrow if narrow > 0 else 1.0
+                opens = gap < 0 or gap > 1.5 * leading.usual(max(prev.size, r.size)) or (largest > 0 and abs(prev.size - r.size) / largest > 0.15) or r.family != prev.family or overlap < 0.5
             if opens:
-                block, leads, left, right = block + 1, [], r.min_x, r.max_x
+                block, leading, left, right = block + 1, Leading(), r.min_x, r.max_x
             else:
-                leads.append(r.baseline - prev.baseline)
+                leading.add(gap)
                 left, right = min(left, r.min_x), max(right, r.max_x)
             out.append(block)
             prev = r

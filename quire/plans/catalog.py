@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hyphenation, markup, pages
-from ..operators import assembly, classify, furniture, glyphs, links, runs, tables
+from ..operators import assembly, classify, furniture, glyphs, links, paragraphs, runs, tables
 from ..sources import typeset
 
 lines, blocks = typeset.lines, typeset.blocks
@@ -62,12 +62,6 @@ def line_clusters(spark, sf_dir):
     return rows.groupBy("doc_id", "page", "line").agg(F.count("*").alias("n"), F.min("y").alias("y"))
 
 
-def _columns(spark, sf_dir):
-    """Lines of every fourth page opened in the middle."""
-    rows = typeset.glyphs(spark, sf_dir).where("page % 4 = 1 AND ord % 4 = 1")
-    return rows.withColumn("x", F.col("x") + F.when(F.col("x") >= 180, 120.0).otherwise(0.0)).where("x < 290 OR x + advance > 305")
-
-
 def _with_columns(spark, sf_dir):
     """All glyphs; every fourth page is opened in the middle."""
     opened = (F.col("page") % 4 == 1) & (F.col("x") >= 180)
@@ -89,6 +83,32 @@ def segments(spark, sf_dir):
     return glyphs.segment_blocks(lines(spark, sf_dir))
 
 
+def _body_lines(spark, sf_dir):
+    """Lines with indents, wider gaps, list markers, full stops on short lines and hyphens at their ends; running heads and folios left out."""
+    line = F.floor(F.col("ord") / 4)
+    rows = lines(spark, sf_dir).where("cls NOT IN ('running', 'folio')")
+    rows = rows.withColumn("baseline", F.col("baseline") + F.when(line % 11 == 6, 5.0).otherwise(0.0))
+    rows = rows.withColumn("min_x", F.col("min_x") + F.when(line % 7 == 3, 18.0).when(line % 13 == 4, 6.0).otherwise(0.0))
+    rows = rows.withColumn("max_x", F.when(line % 9 == 2, 300.0).otherwise(F.col("max_x")))
+    text = F.when(line % 9 == 2, F.concat("text", F.lit("."))).when(line % 5 == 1, F.concat("text", F.lit("-"))).when(line % 17 == 9, F.concat(F.lit("a) "), "text")).otherwise(F.col("text"))
+    return rows.withColumn("text", text)
+
+
+def _paragraph_lines(spark, sf_dir):
+    """Body lines in blocks of nine lines a page, and their paragraphs."""
+    rows = _body_lines(spark, sf_dir).withColumn("block", F.floor(F.floor(F.col("ord") / 4) % 40 / 9))
+    return rows.join(paragraphs.paragraphs(rows).drop("page", "block"), ["doc_id", "ord"])
+
+
+def paragraph_starts(spark, sf_dir):
+    return _paragraph_lines(spark, sf_dir).select("doc_id", "page", "ord", "block", "paragraph")
+
+
+def paragraph_text(spark, sf_dir):
+    out = paragraphs.paragraph_text(_paragraph_lines(spark, sf_dir))
+    return out.select("doc_id", "page", "block", "paragraph", "ord", "n_lines", "size", "min_x", "max_x", F.md5("text").alias("text_md5"), "hyphens_kept")
+
+
 def _pages(spark, sf_dir):
     rows = lines(spark, sf_dir).groupBy("doc_id", "page").agg(F.sum("n_glyphs").alias("n_glyphs"), F.sum(F.when(F.col("page") % 19 == 3, F.floor(F.col("n_glyphs") / 50)).otherwise(0)).alias("n_missing"))
     return rows.withColumns({"width": F.when(F.col("page") % 7 == 6, 792.004).otherwise(612.0), "height": F.when(F.col("page") % 7 == 6, 612.0).otherwise(792.0), "rotate": F.lit(0)})
@@ -181,8 +201,8 @@ def style_runs(spark, sf_dir):
 
 
 def split_lines(spark, sf_dir):
-    rows = _columns(spark, sf_dir)
-    cuts = rows.select("doc_id", "page").distinct().withColumns({"min_x": F.lit(190.0), "max_x": F.lit(290.0)})
+    rows = _with_columns(spark, sf_dir)
+    cuts = lines(spark, sf_dir).where("page % 4 = 1").select("doc_id", "page").distinct().withColumns({"min_x": F.lit(190.0), "max_x": F.lit(290.0)})
     return runs.split_at_gutters(rows, cuts).groupBy("doc_id", "page", "ord", "segment").agg(F.count("*").alias("n"), F.min("x").alias("min_x"))
 
 
@@ -228,7 +248,7 @@ def small_values(spark, sf_dir):
     tens, ones = F.array(*map(F.lit, ("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"))), F.array(*map(F.lit, ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")))
     numeral = F.concat(F.get(tens, (F.col("doc_id") % 100 / 10).cast("int")), F.get(ones, (F.col("doc_id") % 10).cast("int")))
     date = F.concat(F.lit("D:2021"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("15103000"), F.when(F.col("doc_id") % 2 == 0, "+02'00'").otherwise("Z"))
-    return docs.where("doc_id % 100 > 0").select("doc_id", markup.roman(numeral).alias("value"), F.unix_seconds(markup.pdf_date(date)).alias("seconds"))
+    return docs.select("doc_id", F.coalesce(F.when(numeral != "", markup.roman(numeral)), F.lit(-1)).alias("value"), F.unix_seconds(markup.pdf_date(date)).alias("seconds"))
 
 
 def _on_blocks(f):
@@ -264,6 +284,8 @@ QUERIES = {
     "gutters": gutters,
     "reading_order": reading_order,
     "segments": segments,
+    "paragraph_starts": paragraph_starts,
+    "paragraph_text": paragraph_text,
     "figures": figures,
     "image_ids": image_ids,
     "captions": captions,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..sources import typeset
 
 _B, _L, _G = (typeset.duck(n) for n in ("blocks", "lines", "glyphs"))
+_GT = _G.replace("AS rune FROM lines)", "AS rune FROM lines WHERE page % 5 = 2)")  # the pages that hold tables
 _Q = "round(size / 0.5) * 0.5"
 _WORDS = r"len(regexp_extract_all(text, '[^ \t\n\r\x0B\f]+'))"
 _ENDS = r"""regexp_matches(text, '[.!?…。！？]["''”’)\] \t\n]*$')"""
@@ -36,6 +37,30 @@ seen AS (SELECT band.* FROM band JOIN sample USING (doc_id, page)),
 nt AS (SELECT doc_id, tk, count(DISTINCT page) AS n_t FROM seen GROUP BY ALL), np AS (SELECT doc_id, pk, count(DISTINCT page) AS n_p FROM seen GROUP BY ALL)
 SELECT doc_id, ord, reason FROM (SELECT band.doc_id, ord, CASE WHEN n_t >= need THEN 'text' WHEN folio THEN 'folio' WHEN n_p >= need THEN 'position' END AS reason
   FROM band JOIN need USING (doc_id) LEFT JOIN nt USING (doc_id, tk) LEFT JOIN np USING (doc_id, pk)) WHERE reason IS NOT NULL"""
+_USUAL = "CASE WHEN list_aggregate(r.leads, 'median') > 0 THEN list_aggregate(r.leads, 'median') ELSE 1.2::DOUBLE * greatest(r.size, s.size) END"
+#: Blocks by a recursion over the lines of each page.
+_SEGMENTS = _L.replace("WITH ", "WITH RECURSIVE ", 1) + f""", s AS (SELECT doc_id, page, ord, baseline, size, family, min_x, max_x, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) AS k FROM lines),
+r AS (SELECT doc_id, page, ord, k, baseline, size, family, min_x AS lo, max_x AS hi, CAST([] AS DOUBLE[]) AS leads, 0 AS block FROM s WHERE k = 1
+  UNION ALL SELECT doc_id, page, ord, k, baseline, size, family, CASE WHEN opens THEN min_x ELSE least(lo, min_x) END, CASE WHEN opens THEN max_x ELSE greatest(hi, max_x) END,
+    CASE WHEN opens THEN CAST([] AS DOUBLE[]) ELSE list_append(leads, gap) END, block + CASE WHEN opens THEN 1 ELSE 0 END
+  FROM (SELECT s.*, r.lo, r.hi, r.leads, r.block, s.baseline - r.baseline AS gap,
+      s.baseline < r.baseline OR s.baseline - r.baseline > 1.5 * {_USUAL} OR s.family <> r.family OR abs(s.size - r.size) > 0.15 * greatest(s.size, r.size)
+      OR least(r.hi, s.max_x) <= greatest(r.lo, s.min_x) OR least(r.hi, s.max_x) - greatest(r.lo, s.min_x) < 0.5 * least(r.hi - r.lo, s.max_x - s.min_x) AS opens
+    FROM r JOIN s ON s.doc_id = r.doc_id AND s.page = r.page AND s.k = r.k + 1))"""
+#: Paragraphs by a recursion over the lines of each block.
+_PARAGRAPHS = _L.replace("WITH ", "WITH RECURSIVE ", 1) + rf""", moved AS (SELECT doc_id, page, ord, ord // 4 AS line, size, baseline + CASE WHEN ord // 4 % 11 = 6 THEN 5.0 ELSE 0.0 END AS baseline,
+    min_x + CASE WHEN ord // 4 % 7 = 3 THEN 18.0 WHEN ord // 4 % 13 = 4 THEN 6.0 ELSE 0.0 END AS min_x, CASE WHEN ord // 4 % 9 = 2 THEN 300.0 ELSE max_x END AS max_x,
+    CASE WHEN ord // 4 % 9 = 2 THEN text || '.' WHEN ord // 4 % 5 = 1 THEN text || '-' WHEN ord // 4 % 17 = 9 THEN 'a) ' || text ELSE text END AS text
+  FROM lines WHERE cls NOT IN ('running', 'folio')),
+placed2 AS (SELECT *, CAST(line % 40 // 9 AS BIGINT) AS block FROM moved),
+s AS (SELECT *, {_MARK} AS marked, {_ENDS} AS ends, max_x - min_x AS width, row_number() OVER w AS k, median(min_x) OVER b AS usual_x, max(max_x) OVER b - min(min_x) OVER b AS block_width
+  FROM placed2 WINDOW w AS (PARTITION BY doc_id, page, block ORDER BY ord), b AS (PARTITION BY doc_id, page, block)),
+r AS (SELECT doc_id, page, block, ord, k, baseline, size, ends, width, marked AS first_marked, min_x AS first_x, CAST([] AS DOUBLE[]) AS leads, 0 AS paragraph FROM s WHERE k = 1
+  UNION ALL SELECT doc_id, page, block, ord, k, baseline, size, ends, width, CASE WHEN opens THEN marked ELSE first_marked END, CASE WHEN opens THEN min_x ELSE first_x END,
+    CASE WHEN opens THEN CAST([] AS DOUBLE[]) ELSE list_append(leads, gap) END, paragraph + CASE WHEN opens THEN 1 ELSE 0 END
+  FROM (SELECT s.*, r.leads, r.paragraph, r.first_marked, r.first_x, s.baseline - r.baseline AS gap,
+      s.marked OR (NOT (r.first_marked AND s.min_x > r.first_x) AND (s.min_x - s.usual_x > 0.5 * s.size OR s.baseline - r.baseline > 1.25 * {_USUAL} OR (r.ends AND s.block_width > 0 AND r.width < 0.8 * s.block_width))) AS opens
+    FROM r JOIN s ON s.doc_id = r.doc_id AND s.page = r.page AND s.block = r.block AND s.k = r.k + 1))"""
 _PAGES = """, pages2 AS (SELECT doc_id, page, CAST(sum(n_glyphs) AS BIGINT) AS n_glyphs, CAST(sum(CASE WHEN page % 19 = 3 THEN n_glyphs // 50 ELSE 0 END) AS BIGINT) AS n_missing,
   CASE WHEN page % 7 = 6 THEN 792.004 ELSE 612.0 END AS width, CASE WHEN page % 7 = 6 THEN 612.0 ELSE 792.0 END AS height FROM lines GROUP BY doc_id, page)"""
 _IMAGES = """, pgs AS (SELECT doc_id, page, CAST(sum(n_glyphs) AS BIGINT) AS page_glyphs FROM lines WHERE page % 3 = 0 GROUP BY doc_id, page),
@@ -95,9 +120,16 @@ SELECT doc_id, page, ord, col, CAST(row_number() OVER (PARTITION BY doc_id, page
     "figures": _L + _IMAGES + " SELECT doc_id, page, ord, min_x, max_x FROM images WHERE least(max_x - min_x, max_y - min_y) >= 16 AND (max_x - min_x) * (max_y - min_y) / (612.0 * 792.0) >= 0.02",
     "image_ids": _L + _IMAGES + """, d AS (SELECT doc_id, digest, min(page * 10 + ord) AS at_, count(*) AS placements FROM images GROUP BY doc_id, digest)
 SELECT doc_id, digest, 'img' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY at_) - 1 AS VARCHAR), 3, '0') AS image_id, placements FROM d""",
+    "segments": _SEGMENTS + " SELECT doc_id, page, ord, CAST(block AS BIGINT) AS block FROM r",
+    "paragraph_starts": _PARAGRAPHS + " SELECT doc_id, page, ord, block, CAST(paragraph AS BIGINT) AS paragraph FROM r",
+    "paragraph_text": _PARAGRAPHS + r""", j AS (SELECT s.*, r.paragraph, trim(s.text, E' \t\n\r') AS piece FROM s JOIN r USING (doc_id, page, block, ord)),
+l AS (SELECT *, lag(piece) OVER w AS behind, lead(piece) OVER w AS ahead FROM j WINDOW w AS (PARTITION BY doc_id, page, block, paragraph ORDER BY ord)),
+p AS (SELECT *, CASE WHEN behind IS NULL OR (behind LIKE '%-' AND regexp_matches(piece, '^\p{L}')) THEN '' ELSE ' ' END || piece AS part, coalesce(piece LIKE '%-' AND regexp_matches(ahead, '^\p{L}'), false) AS broken FROM l)
+SELECT doc_id, page, block, CAST(paragraph AS BIGINT) AS paragraph, min(ord) AS ord, count(*) AS n_lines, median(size) AS size, min(min_x) AS min_x, max(max_x) AS max_x, md5(string_agg(part, '' ORDER BY ord)) AS text_md5, CAST(sum(CASE WHEN broken THEN 1 ELSE 0 END) AS BIGINT) AS hyphens_kept
+FROM p GROUP BY doc_id, page, block, paragraph""",
     "table_grids": _L + _RULES + " SELECT doc_id, page, CAST(region AS BIGINT) AS region, CAST(4 AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS n_cols FROM tops",
-    "table_cells": _G + _RULES + _CELLS + ' SELECT doc_id, page, region, "row", col, text FROM cells',
-    "table_confidence": _G + _RULES + _CELLS + """, c AS (SELECT doc_id, page, region, col, sum(CASE WHEN text <> '' THEN 1 ELSE 0 END) AS n FROM cells GROUP BY ALL),
+    "table_cells": _GT + _RULES + _CELLS + ' SELECT doc_id, page, region, "row", col, text FROM cells',
+    "table_confidence": _GT + _RULES + _CELLS + """, c AS (SELECT doc_id, page, region, col, sum(CASE WHEN text <> '' THEN 1 ELSE 0 END) AS n FROM cells GROUP BY ALL),
 a AS (SELECT doc_id, page, region, sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS aligned, count(*) AS n_cols FROM c GROUP BY ALL),
 t AS (SELECT doc_id, page, region, count(DISTINCT "row") AS n_rows, count(*) AS n, CAST(sum(CASE WHEN text <> '' THEN 1 ELSE 0 END) AS BIGINT) AS filled, sum(CASE WHEN length(text) > 1 THEN 1 ELSE 0 END) AS long_ FROM cells GROUP BY ALL)
 SELECT doc_id, page, region, n_rows, n_cols, filled, CASE WHEN aligned >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM t JOIN a USING (doc_id, page, region) WHERE filled >= 0.5 * n AND long_ >= 0.5 * filled AND filled > 0""",
@@ -113,17 +145,23 @@ s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || substr('89ab89ab89ab89ab'
     "style_runs": _G + """, g AS (SELECT *, seq BETWEEN 5 AND 11 AS bold_, seq BETWEEN 9 AND 20 AS italic_, row_number() OVER (PARTITION BY doc_id, page, ord ORDER BY x, seq) - 1 AS at_, count(*) OVER (PARTITION BY doc_id, page, ord) AS n FROM glyphs),
 r AS (SELECT doc_id, page, ord, bold_ AS bold, italic_ AS italic, min(at_) AS start, max(at_) + 1 AS "end", max(n) AS n, sum(CASE WHEN regexp_matches(rune, '\\p{L}') THEN 1 ELSE 0 END) AS letters FROM g WHERE bold_ OR italic_ GROUP BY ALL)
 SELECT doc_id, page, ord, start, "end", bold, italic FROM r WHERE "end" - start < n AND letters >= 2""",
-    "marker_merge": _B + " SELECT doc_id, ord * 2 AS ord, text FROM blocks",
+    "marker_merge": _B + r""", cut AS (SELECT *, text LIKE '1 %' AND min_y > 600 AND ord % 2 = 0 AS parts FROM blocks),
+split AS (SELECT doc_id, ord * 2 AS ord, page, CASE WHEN parts THEN substring(text, 3) ELSE text END AS text, size, min_x, min_y FROM cut
+  UNION ALL SELECT doc_id, ord * 2 - 1, page, '1', size, min_x, min_y FROM cut WHERE parts),
+told AS (SELECT *, regexp_matches(text, '^(?:[0-9]{1,3}|[*†‡])[.)\]]?$') AS lone, len(regexp_extract_all(text, '\p{L}')) >= 8 AS prose, min_y >= 633.6 AS low FROM split),
+pairs AS (SELECT *, lone AND low AND lead(prose AND low) OVER w AND lead(page) OVER w = page AND lead(min_x) OVER w >= min_x - 1 AND abs(lead(min_y) OVER w - min_y) < 2 * greatest(size, lead(size) OVER w) AS goes FROM told WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+done AS (SELECT *, lag(goes) OVER w AS takes, lag(text) OVER w AS marker FROM pairs WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
+SELECT doc_id, ord, CASE WHEN takes THEN marker || ' ' || text ELSE text END AS text FROM done WHERE NOT coalesce(goes, false)""",
     "inline_figures": _B + _IMAGES + """ SELECT DISTINCT i.doc_id, i.page, i.ord FROM images i JOIN blocks b ON b.doc_id = i.doc_id AND b.page = i.page AND b.n_lines >= 2 AND b.min_y < 206.0 + i.page % 3 * 12 AND b.max_y > 216.0 + i.page % 3 * 12 WHERE i.ord = 0""",
     "upper_medians": _L + ", s AS (SELECT doc_id, page, list_sort(list(n_glyphs)) AS a FROM lines GROUP BY doc_id, page) SELECT doc_id, page, a[len(a) // 2 + 1] AS upper_median FROM s",
     "normalised_text": _L + " SELECT doc_id, ord, rtrim(CASE WHEN contains(text || '  ', '  ') THEN regexp_replace(text || '  ', '[ \\t\\n]+', ' ', 'g') END) AS text FROM lines",
-    "small_values": "SELECT doc_id, CAST(doc_id % 100 AS INT) AS value, CAST(epoch(make_timestamp(2021, doc_id % 12 + 1, 15, 10, 30, 0.0)) AS BIGINT) - CASE WHEN doc_id % 2 = 0 THEN 7200 ELSE 0 END AS seconds FROM documents WHERE doc_id % 100 > 0",
+    "small_values": "SELECT doc_id, CAST(CASE WHEN doc_id % 100 = 0 THEN -1 ELSE doc_id % 100 END AS INT) AS value, CAST(epoch(make_timestamp(2021, doc_id % 12 + 1, 15, 10, 30, 0.0)) AS BIGINT) - CASE WHEN doc_id % 2 = 0 THEN 7200 ELSE 0 END AS seconds FROM documents",
     "line_clusters": _G + """, u AS (SELECT doc_id, page, y, count(*) AS n FROM glyphs WHERE rotation <= 5 GROUP BY ALL)
 SELECT doc_id, page, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y) - 1 AS INT) AS line, n, y FROM u""",
-    "split_lines": _G + """, c AS (SELECT *, x + CASE WHEN x >= 180 THEN 120.0 ELSE 0.0 END AS xx FROM glyphs WHERE page % 4 = 1 AND ord % 4 = 1), d AS (SELECT * FROM c WHERE xx < 290 OR xx + advance > 305),
+    "split_lines": _G + """, d AS (SELECT *, x + CASE WHEN page % 4 = 1 AND x >= 180 THEN 120.0 ELSE 0.0 END AS xx FROM glyphs),
 m AS (SELECT doc_id, page, ord, median(advance) AS step FROM d GROUP BY ALL),
 g AS (SELECT d.*, step, lag(xx + advance) OVER (PARTITION BY d.doc_id, d.page, d.ord ORDER BY xx, seq) AS fx FROM d JOIN m USING (doc_id, page, ord)),
-s AS (SELECT *, sum(CASE WHEN 240.0 > fx AND 240.0 < xx AND xx - fx >= 0.5 * step THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, ord ORDER BY xx, seq ROWS UNBOUNDED PRECEDING) AS segment FROM g)
+s AS (SELECT *, sum(CASE WHEN page % 4 = 1 AND 240.0 > fx AND 240.0 < xx AND xx - fx >= 0.5 * step THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, ord ORDER BY xx, seq ROWS UNBOUNDED PRECEDING) AS segment FROM g)
 SELECT doc_id, page, ord, CAST(segment AS BIGINT) AS segment, count(*) AS n, min(xx) AS min_x FROM s GROUP BY doc_id, page, ord, segment""",
     "chapter_parts": (_B + _CHAPTERS).replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT doc_id, chapter, ord, CAST(floor(strlen(text) * 12 / 10) + 32 AS BIGINT) AS size, row_number() OVER (PARTITION BY doc_id, chapter ORDER BY ord) AS k FROM chapters),
 r AS (SELECT doc_id, chapter, ord, k, size AS used, 0 AS part FROM s WHERE k = 1
