@@ -28,8 +28,8 @@ def test_markers_open_items_and_hanging_lines_stay(spark):
 
 
 def test_lines_join_and_hyphens_go_where_patterns_permit(spark):
-    rows = [(*r, 0) for r in lines((" the wa-", 0, 0, 9), ("ter ran", 12, 0, 9), ("", 24, 0, 9), ("x-", 36, 0, 9), ("9 b-", 48, 0, 9))]
-    df = spark.createDataFrame(rows, LINE + ", paragraph int")
+    rows = [(*r, 0.0, 9.0, 0) for r in lines((" the wa-", 0, 0, 9), ("ter ran", 12, 0, 9), ("", 24, 0, 9), ("x-", 36, 0, 9), ("9 b-", 48, 0, 9))]
+    df = spark.createDataFrame(rows, LINE + ", min_y double, max_y double, paragraph int")
     kept = paragraphs.paragraph_text(df).collect()[0]
     assert (kept.text, kept.n_lines, kept.hyphens_kept, kept.hyphens_dropped) == ("the wa-ter ran x- 9 b-", 5, 1, 0)
     gone = paragraphs.paragraph_text(df, hyphenation.Patterns(["a1t"], [])).collect()[0]
