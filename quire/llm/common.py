@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: A word is a run of code points other than space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a Python worker turns into Python objects at once.
-SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -116,7 +116,7 @@ def extended(df: DataFrame, *fields: tuple[str, object]) -> T.StructType:
     return schema
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in large batches, but of no more text bytes than ``most_bytes`` (one row at least)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

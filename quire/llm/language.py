@@ -266,7 +266,7 @@ def identify(df: DataFrame, samples: dict[str, str], text_col: str = "text") ->
 
     def run(batches):
         parser = _parser(samples)
-        for batch in text_slices(batches, text_col):
+        for batch in text_slices(batches, text_col, 8 << 20):  # many lanes
             found = parser.predict(batch.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*own, "lang_pred", "score"])
 

@@ -31,9 +31,9 @@ SPACE = "▁"
 #: Stands for a literal U+2581 while encoding; no valid text holds a lone surrogate.
 _LITERAL = "\udbff"
 #: Words whose ids a worker remembers, in two generations of this many.
-MEMO = 160_000
+MEMO = 120_000
 #: Bytes of text that a worker turns into Python objects at once (one row at least).
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 
 
 class Lexicon:
@@ -41,23 +41,20 @@ class Lexicon:
 
     def __init__(self, pieces: list[tuple[str, float, str]]) -> None:
         """``pieces``: (piece, score, kind) by id; kind is normal, byte, unknown or other."""
-        self.trie: dict = {}
+        self._trie: dict = {}
+        self._normal = [(p, s, i) for i, (p, s, kind) in enumerate(pieces) if kind == "normal"]
         self.bytes: dict[int, int] = {}
         self.plain: list[bytes] = []
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == "unknown"), 0)
         normal = [(p, s) for p, s, kind in pieces if kind == "normal"]
         self.longest = max((len(p) for p, _ in normal), default=1)
         self.unknown_score = min((s for _, s in normal), default=0.0) - 10.0
-        for i, (piece, score, kind) in enumerate(pieces):
+        for i, (piece, _, kind) in enumerate(pieces):
             if kind == "byte":
                 self.bytes[int(piece[3:-1], 16)] = i
                 self.plain.append(bytes([int(piece[3:-1], 16)]))
             elif kind == "normal":
                 self.plain.append(piece.replace(SPACE, " ").encode())
-                node = self.trie
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = (i, score)
             else:
                 self.plain.append(b"")
         inside = re.compile(f"[^{SPACE}]{SPACE}|\n")
@@ -65,6 +62,17 @@ class Lexicon:
         self.by_word = not any(inside.search(p) for p, _ in normal)
         self.newline = self.bytes.get(10)
 
+    @property
+    def trie(self) -> dict:
+        """Built when first asked for: decoding needs none."""
+        if not self._trie:
+            for piece, score, i in self._normal:
+                node = self._trie
+                for c in piece:
+                    node = node.setdefault(c, {})
+                node[""] = (i, score)
+        return self._trie
+
     @classmethod
     def load(cls, path: str = MODEL) -> Lexicon:
         return cls(read_model(path))

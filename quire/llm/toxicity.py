@@ -51,7 +51,7 @@ USUAL = 4000
 STEPS = (1, 2, 3, 4, 5, 6, 8)
 THRESHOLD = 0.3
 #: Windows whose gain a worker remembers, in two generations of this many.
-MEMO = 200_000
+MEMO = 100_000
 
 
 def _fragments(text: str | None) -> dict[bytes, int]:
