@@ -38,6 +38,6 @@ def test_lines_join_and_hyphens_go_where_patterns_permit(spark):
 
 
 def test_two_pieces_on_one_baseline_do_not_split_later_lines(spark):
-    rows = [(1, 0, k, float(y), 10.0, "serif", 0.0, 100.0) for k, y in enumerate((0, 0, 12, 24))]
+    rows = [(1, 0, k, float(y), 10.0, "serif", 0.0, 100.0) for k, y in enumerate((0, 0, 12))]
     df = spark.createDataFrame(rows, "doc_id long, page int, ord long, baseline double, size double, family string, min_x double, max_x double")
     assert {r.block for r in glyphs.segment_blocks(df).collect()} == {0}
