@@ -18,10 +18,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a Python worker turns into Python objects at once.
 SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
 
+#: Bytes of rows that an executor hands to a Python worker at once (one row at least).
+ARROW_BYTES = 4 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _staged: list[tuple[SparkSession, str]] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what executor and Python worker hold of a batch, unless the session has a setting of its own.
+
+    By default a batch is 10,000 rows, whatever their size up to 64 MB, held on both sides.
+    """
+    spark.conf.set(_ARROW, spark.sparkContext.getConf().get(_ARROW, str(ARROW_BYTES)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, for reading in small Arrow batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
