@@ -116,9 +116,9 @@ def kinds(blocks: DataFrame) -> DataFrame:
     return out.select(*key, kind.alias("kind"), "level")
 
 
-def block_ids(blocks: DataFrame, kind: str = "paragraph") -> DataFrame:
+def block_ids(blocks: DataFrame, kind: str | Column = "paragraph") -> DataFrame:
     """``b`` and eight hex digits of SHA-256 over kind, page and text; later equal ones get ``-`` and their number in hex."""
-    raw = F.concat(F.encode(F.lit(kind), "UTF-8"), F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex(F.col("page").cast("long")), 8, "0")), F.encode("text", "UTF-8"))
+    raw = F.concat(F.encode(F.lit(kind) if isinstance(kind, str) else kind, "UTF-8"), F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex(F.col("page").cast("long")), 8, "0")), F.encode("text", "UTF-8"))
     rows = blocks.withColumn("base", F.concat(F.lit("b"), F.substring(F.sha2(raw, 256), 1, 8)))
     n = F.row_number().over(W.partitionBy("doc_id", "base").orderBy("ord")) - 1
     return rows.select("doc_id", "ord", F.when(n == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.lower(F.lpad(F.hex(n), 2, "0")))).alias("block_id"))

@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ABOVE_PENALTY = 1e6
+#: Fixed value: the labels that captions open with, before a number.
+CAPTION_LABEL = r"^[ \t\n]*(?:Figure|Fig\.|Table|Plate|Abbildung|Tabelle|Abb\.)[ \t\n]*[0-9IVXivx]"
 
 
 def distance(y: Column, min_y: Column, max_y: Column) -> Column:
@@ -22,13 +24,13 @@ def footnote_links(references: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def cross_references(links: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Links (``doc_id, seq, target_page, target_y``) with ``target_ord``: the nearest block of the target page, the first of equals.
+    """Links (``doc_id, seq, target_page, target_y``) with ``target_ord``: the nearest block of the target page, the first of equals; null where that page has none.
 
     An equi-join on document and page, then the best of each link's page.
     """
-    rows = links.join(blocks.select("doc_id", F.col("page").alias("target_page"), "ord", "min_y", "max_y"), ["doc_id", "target_page"])
+    rows = links.join(blocks.select("doc_id", F.col("page").alias("target_page"), "ord", "min_y", "max_y"), ["doc_id", "target_page"], "left")
     rows = rows.withColumn("gap", distance(F.col("target_y"), F.col("min_y"), F.col("max_y")))
-    return rows.groupBy(*links.columns).agg(F.min(F.struct("gap", "ord")).alias("best")).select(*links.columns, F.col("best.ord").alias("target_ord"))
+    return rows.groupBy(*links.columns).agg(F.min(F.when(F.col("ord").isNotNull(), F.struct("gap", "ord"))).alias("best")).select(*links.columns, F.col("best.ord").alias("target_ord"))
 
 
 def reconcile_outline(outline: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -60,7 +62,8 @@ def reconcile_outline(outline: DataFrame, blocks: DataFrame) -> DataFrame:
 def assign_captions(figures: DataFrame, blocks: DataFrame) -> DataFrame:
     """Figures in order, each with the nearest block below or above that overlaps it and no earlier figure took.
 
-    Labelled blocks may lie farther off, others must be smaller than the body.
+    Labelled blocks may lie farther off, others must be smaller than the body. Blank blocks
+    are no captions. A block without a size counts as one of the body's.
     """
     def bind(key, figs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         used: set[int] = set()
@@ -74,16 +77,17 @@ def assign_captions(figures: DataFrame, blocks: DataFrame) -> DataFrame:
                 if overlap < 0.3 * min(f.max_x - f.min_x, b.max_x - b.min_x):
                     continue
                 gap = max(b.min_y - f.max_y, f.min_y - b.max_y, 0.0)
-                near = gap <= 1.5 * b.size and b.size <= 0.95 * f.body_size
-                if (near or b.labelled and gap <= 4.5 * b.size) and (best is None or gap < best[0]):
+                line = b.size if b.size > 0 else f.body_size
+                near = gap <= 1.5 * line and b.size < 0.95 * f.body_size
+                if (near or b.labelled and gap <= 4.5 * line) and (best is None or gap < best[0]):
                     best = (gap, b.ord)
             if best is not None:
                 used.add(best[1])
                 out.append((key[0], key[1], f.fig, best[1]))
         return pd.DataFrame(out, columns=["doc_id", "page", "fig", "caption_ord"])
 
-    labelled = F.col("text").rlike(r"^(?i:figure|fig\.|table|abbildung|figura)[ \t]*[0-9]+")
-    rows = blocks.select("doc_id", "page", "ord", "size", "min_x", "max_x", "min_y", "max_y", labelled.alias("labelled"))
+    labelled = F.col("text").rlike(CAPTION_LABEL)
+    rows = blocks.where(F.trim("text") != "").select("doc_id", "page", "ord", "size", "min_x", "max_x", "min_y", "max_y", labelled.alias("labelled"))
     return figures.groupBy("doc_id", "page").cogroup(rows.groupBy("doc_id", "page")).applyInPandas(bind, "doc_id long, page int, fig int, caption_ord long")
 
 

@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.markup import escape_xml
+from .classify import MARKER
 
+#: The marker of a list item, without the first character of its text.
+ITEM_MARKER = MARKER.removesuffix(r"[^ \t\n]")
 LEAST_ROWS, LEAST_SHARED, COLUMN_TOLERANCE, ROW_TOLERANCE = 3, 2, 2.0, 1.0
 
 
@@ -18,6 +21,49 @@ def list_html(items: Column, ordered: Column, start: Column) -> Column:
     return F.concat(opening, rows, F.when(ordered, "</ol>").otherwise("</ul>"))
 
 
+#: What goes around the text of a block.
+TAGS = {
+    "code": ("<pre><code>", "</code></pre>\n"),
+    "blockquote": ("<blockquote><p>", "</p></blockquote>\n"),
+    "caption": ('<p class="caption">', "</p>\n"),
+}
+
+
+def block_html(rows: DataFrame) -> DataFrame:
+    """Blocks (``doc_id, chapter, ord, kind, level, text, block_id``) with ``html``; blank ones go.
+
+    Headings and footnotes carry their ids. A paragraph that follows anything else, or
+    opens its chapter, is a first one. List blocks that follow each other with the same
+    ordering are one list, without their markers: the first opens it, the last closes it.
+    """
+    order = W.partitionBy("doc_id", "chapter").orderBy("ord")
+    rows = rows.where(F.trim("text") != "")
+    ordered = F.when(F.col("kind") == "list", ~F.col("text").rlike(r"^[•◦▪‣*-]"))
+    rows = rows.withColumn("ordered", ordered)
+    rows = rows.withColumns({"kind_before": F.lag("kind").over(order), "ordered_before": F.lag("ordered").over(order), "ordered_after": F.lead("ordered").over(order)})
+    text, ident = escape_xml(F.col("text")), escape_xml(F.col("block_id"))
+    depth = F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(6)).cast("string")
+    number = F.regexp_extract("text", r"^\(?([0-9]{1,3})[.)\]]", 1).try_cast("int")
+    begin = F.when(number > 1, F.concat(F.lit('<ol start="'), number.cast("string"), F.lit('">\n'))).otherwise("<ol>\n")
+    opening = F.when(F.col("ordered").eqNullSafe(F.col("ordered_before")), "").when(F.col("ordered"), begin).otherwise("<ul>\n")
+    closing = F.when(F.col("ordered").eqNullSafe(F.col("ordered_after")), "").when(F.col("ordered"), "</ol>\n").otherwise("</ul>\n")
+    item = escape_xml(F.trim(F.regexp_replace("text", ITEM_MARKER, "")))
+    first = F.when(F.col("kind_before").eqNullSafe("paragraph"), "").otherwise(' class="first"')
+    html = F.when(F.col("kind") == "heading", F.concat(F.lit("<h"), depth, F.lit(' id="'), ident, F.lit('">'), text, F.lit("</h"), depth, F.lit(">\n")))
+    html = html.when(F.col("kind") == "footnote", F.concat(F.lit('<aside epub:type="footnote" id="'), ident, F.lit('">\n  <p>'), text, F.lit("</p>\n</aside>\n")))
+    html = html.when(F.col("kind") == "list", F.concat(opening, F.lit("  <li>"), item, F.lit("</li>\n"), closing))
+    for kind, (before, after) in TAGS.items():
+        html = html.when(F.col("kind") == kind, F.concat(F.lit(before), text, F.lit(after)))
+    html = html.otherwise(F.concat(F.lit("<p"), first, F.lit(">"), text, F.lit("</p>\n")))
+    return rows.withColumn("html", html).drop("ordered", "kind_before", "ordered_before", "ordered_after")
+
+
+def chapter_bodies(rendered: DataFrame) -> DataFrame:
+    """``(doc_id, chapter, body)``: the markup of each chapter's blocks, in order. A group is one chapter of one document."""
+    parts = F.sort_array(F.collect_list(F.struct("ord", "html")))
+    return rendered.groupBy("doc_id", "chapter").agg(F.array_join(F.transform(parts, lambda x: x["html"]), "").alias("body"))
+
+
 def table_html(rows: Column) -> Column:
     """An array of rows, each an array of ``(text, colspan)``."""
     def cell(c: Column) -> Column:

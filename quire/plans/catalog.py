@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hyphenation, markup, pages
-from ..operators import assembly, classify, furniture, glyphs, links, paragraphs, runs, tables
-from ..sources import typeset
+from ..operators import assembly, classify, furniture, glyphs, links, paragraphs, render, runs, tables
+from ..sources import container, typeset
 
 lines, blocks = typeset.lines, typeset.blocks
 
@@ -47,6 +47,25 @@ def chapter_parts(spark, sf_dir):
     return assembly.split_by_size(rows.select("doc_id", "chapter", "ord", "size"), 4096)
 
 
+def _rendered(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    rows = rows.join(classify.kinds(rows), ["doc_id", "ord"])
+    rows = rows.join(classify.block_ids(rows, F.col("kind")), ["doc_id", "ord"])
+    return assembly.chapters(rows)
+
+
+def block_html(spark, sf_dir):
+    return render.block_html(_rendered(spark, sf_dir)).select("doc_id", "ord", "chapter", "html")
+
+
+def books(spark, sf_dir):
+    """A book of every document; what is returned names its bytes."""
+    rows = _rendered(spark, sf_dir)
+    bodies = render.chapter_bodies(render.block_html(rows))
+    made = container.books(assembly.chapter_titles(rows).join(bodies, ["doc_id", "chapter"]))
+    return made.select("doc_id", F.octet_length("book").cast("long").alias("book_bytes"), F.sha2("book", 256).alias("book_sha256"))
+
+
 def page_counts(spark, sf_dir):
     return glyphs.page_counts(typeset.glyphs(spark, sf_dir))
 
@@ -176,7 +195,7 @@ def footnote_links(spark, sf_dir):
 def crossref_targets(spark, sf_dir):
     rows = blocks(spark, sf_dir)
     refs = rows.where("ord % 9 = 4").select("doc_id", F.col("ord").alias("seq"), (F.col("page") + F.when(F.col("ord") % 2 == 0, 1).otherwise(0)).cast("int").alias("target_page"), F.when(F.col("ord") % 4 == 1, None).otherwise(F.col("ord") * 37 % 792).cast("double").alias("target_y"))
-    return links.cross_references(refs, rows)
+    return links.cross_references(refs, rows).withColumn("target_ord", _known("target_ord"))
 
 
 def outline_bound(spark, sf_dir):
@@ -278,6 +297,8 @@ QUERIES = {
     "nav_depth2": nav_depth2,
     "chapter_titles": chapter_titles,
     "chapter_parts": chapter_parts,
+    "block_html": block_html,
+    "books": books,
     "page_counts": page_counts,
     "line_text": line_text,
     "line_clusters": line_clusters,

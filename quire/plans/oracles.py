@@ -136,8 +136,8 @@ SELECT doc_id, page, region, n_rows, n_cols, filled, CASE WHEN aligned >= 2 THEN
     "footnote_links": _B + _BODY + _NOTES + """, r AS (SELECT doc_id, page, ord, CASE WHEN ord % 2 = 0 THEN '1' ELSE '2' END AS label FROM blocks WHERE cls = 'text' AND ord % 5 = 2)
 SELECT r.doc_id, r.page, r.label, r.ord, coalesce(n.note_ord, -1) AS note_ord FROM r LEFT JOIN (SELECT doc_id, page, label, min(ord) AS note_ord FROM notes GROUP BY ALL) n USING (doc_id, page, label)""",
     "crossref_targets": _B + """, r AS (SELECT doc_id, ord AS seq, CAST(page + CASE WHEN ord % 2 = 0 THEN 1 ELSE 0 END AS INT) AS target_page, CASE WHEN ord % 4 = 1 THEN NULL ELSE CAST(ord * 37 % 792 AS DOUBLE) END AS target_y FROM blocks WHERE ord % 9 = 4),
-j AS (SELECT r.*, b.ord, CASE WHEN target_y IS NULL THEN 0.0 WHEN target_y < min_y THEN min_y - target_y WHEN target_y <= max_y THEN 0.0 ELSE target_y - max_y + 1e6 END AS gap FROM r JOIN blocks b ON b.doc_id = r.doc_id AND b.page = r.target_page)
-SELECT doc_id, seq, target_page, target_y, ord AS target_ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY gap, ord) AS k FROM j) WHERE k = 1""",
+j AS (SELECT r.*, b.ord, CASE WHEN b.ord IS NULL THEN NULL WHEN target_y IS NULL THEN 0.0 WHEN target_y < min_y THEN min_y - target_y WHEN target_y <= max_y THEN 0.0 ELSE target_y - max_y + 1e6 END AS gap FROM r LEFT JOIN blocks b ON b.doc_id = r.doc_id AND b.page = r.target_page)
+SELECT doc_id, seq, target_page, target_y, coalesce(ord, -1) AS target_ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY gap, ord) AS k FROM j) WHERE k = 1""",
     "markup_columns": r"""WITH h AS (SELECT doc_id, text, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('doc:' || CAST(doc_id AS VARCHAR))) AS s FROM documents)
 SELECT doc_id, md5(replace(replace(replace(replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_md5,
 s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || substr('89ab89ab89ab89ab', CAST(strpos('0123456789abcdef', s[17:17]) AS INT), 1) || s[18:20] || '-' || s[21:32] AS uuid FROM h""",
@@ -169,3 +169,24 @@ r AS (SELECT doc_id, chapter, ord, k, size AS used, 0 AS part FROM s WHERE k = 1
   FROM r JOIN s ON s.doc_id = r.doc_id AND s.chapter = r.chapter AND s.k = r.k + 1)
 SELECT doc_id, chapter, ord, part FROM r""",
 }
+
+_XML = r"""replace(replace(replace(replace(regexp_replace({0}, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+_KIND_IDS = ORACLE_SQL["block_ids"].replace("encode('paragraph')", "encode(kind)").replace("FROM blocks)", "FROM blocks JOIN kinds USING (doc_id, ord))")
+ORACLE_SQL["block_html"] = (
+    "WITH kinds AS (" + ORACLE_SQL["block_kinds"] + "), ids AS (" + _KIND_IDS + "), texts AS (" + _B + " SELECT doc_id, ord, text FROM blocks),"
+    + r"""
+c AS (SELECT t.*, kind, level, block_id, sum(CASE WHEN level BETWEEN 0 AND 2 AND k > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS chapter
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM texts) t JOIN kinds USING (doc_id, ord) JOIN ids USING (doc_id, ord)),
+o AS (SELECT *, CASE WHEN kind = 'list' THEN NOT regexp_matches(text, '^[•◦▪‣*-]') END AS ordered FROM c WHERE trim(text) <> ''),
+n AS (SELECT *, lag(kind) OVER w AS kind_before, lag(ordered) OVER w AS ordered_before, lead(ordered) OVER w AS ordered_after, try_cast(regexp_extract(text, '^\(?([0-9]{1,3})[.)\]]', 1) AS INT) AS number FROM o WINDOW w AS (PARTITION BY doc_id, chapter ORDER BY ord))
+SELECT doc_id, ord, CAST(chapter AS BIGINT) AS chapter, CASE kind
+  WHEN 'heading' THEN '<h' || least(greatest(level, 1), 6) || ' id="' || block_id || '">' || XML_TEXT || '</h' || least(greatest(level, 1), 6) || '>' || chr(10)
+  WHEN 'footnote' THEN '<aside epub:type="footnote" id="' || block_id || '">' || chr(10) || '  <p>' || XML_TEXT || '</p>' || chr(10) || '</aside>' || chr(10)
+  WHEN 'code' THEN '<pre><code>' || XML_TEXT || '</code></pre>' || chr(10)
+  WHEN 'blockquote' THEN '<blockquote><p>' || XML_TEXT || '</p></blockquote>' || chr(10)
+  WHEN 'list' THEN CASE WHEN ordered IS NOT DISTINCT FROM ordered_before THEN '' WHEN NOT ordered THEN '<ul>' || chr(10) WHEN number > 1 THEN '<ol start="' || number || '">' || chr(10) ELSE '<ol>' || chr(10) END
+    || '  <li>' || XML_ITEM || '</li>' || chr(10) || CASE WHEN ordered IS NOT DISTINCT FROM ordered_after THEN '' WHEN ordered THEN '</ol>' || chr(10) ELSE '</ul>' || chr(10) END
+  ELSE '<p' || CASE WHEN kind_before = 'paragraph' THEN '' ELSE ' class="first"' END || '>' || XML_TEXT || '</p>' || chr(10) END AS html FROM n""".replace("XML_TEXT", _XML.format("text")).replace(
+        "XML_ITEM", _XML.format(r"trim(regexp_replace(text, '^(?:[•◦▪‣*-]|\(?(?:[0-9]{1,3}|[ivxlcdm]+|[A-Za-z])[.)\]])[ \t\n]+', ''))")
+    )
+)

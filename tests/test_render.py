@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
 from pyspark.sql import functions as F
 
-from quire.operators import render, runs
+from quire.operators import links, render, runs
+from quire.sources import container
 
 
 def test_lists_and_tables_render(spark):
@@ -33,3 +36,31 @@ def test_metadata_precedence(spark):
     df = spark.createDataFrame(rows, "doc_id long, asked_title string, title string, asked_language string, language string, asked_modified timestamp, modified timestamp, created timestamp")
     got = {r.doc_id: (r.title, r.language, r.modified.year) for r in runs.metadata(df).collect()}
     assert got == {1: ("asked", "de", 1970), 2: ("own", "en", 1970), 3: ("Untitled", "fr", 1970)}
+
+
+def test_blocks_render_and_chapters_join(spark):
+    kinds = [("heading", 1, "A & B"), ("paragraph", None, "one"), ("paragraph", None, "two"), ("list", None, "2. x<y"), ("list", None, "3. z"), ("list", None, "- dash"), ("paragraph", None, " "), ("footnote", None, "1 note"), ("code", None, "a < b"), ("blockquote", None, "said"), ("paragraph", None, "end")]
+    rows = [(1, 0, k, kind, level, text, f"b{k}") for k, (kind, level, text) in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "doc_id long, chapter long, ord long, kind string, level int, text string, block_id string")
+    body = render.chapter_bodies(render.block_html(df)).collect()[0].body
+    assert body.split("\n") == [
+        '<h1 id="b0">A &amp; B</h1>', '<p class="first">one</p>', "<p>two</p>", '<ol start="2">', "  <li>x&lt;y</li>", "  <li>z</li>", "</ol>", "<ul>", "  <li>dash</li>", "</ul>",
+        '<aside epub:type="footnote" id="b7">', "  <p>1 note</p>", "</aside>", "<pre><code>a &lt; b</code></pre>", "<blockquote><p>said</p></blockquote>", '<p class="first">end</p>', "",
+    ]
+
+
+def test_books_are_well_formed():
+    files = container.book_files("urn:x", 'T & "Q"', [("A < B\x01", "<p>a</p>"), ("C", "<p>c</p>")])
+    for data in files.values():
+        ElementTree.fromstring(data)
+    assert "OEBPS/toc.ncx" in files and b"dcterms:modified" in files["OEBPS/content.opf"]
+    assert b"<title>A &lt; B</title>" in files["OEBPS/ch001.xhtml"]
+
+
+def test_links_without_target_stay_and_captions_follow_their_labels(spark):
+    refs = spark.createDataFrame([(1, 1, 0, 5.0), (1, 2, 9, None)], "doc_id long, seq long, target_page int, target_y double")
+    rows = [(1, 0, 3, "Plate IV", 12.0, 0.0, 50.0, 110.0, 120.0), (1, 0, 4, "table 1", 12.0, 0.0, 50.0, 101.0, 109.0), (1, 0, 5, " ", 6.0, 0.0, 50.0, 100.0, 101.0)]
+    blocks = spark.createDataFrame(rows, "doc_id long, page int, ord long, text string, size double, min_x double, max_x double, min_y double, max_y double")
+    assert {r.seq: r.target_ord for r in links.cross_references(refs, blocks).collect()} == {1: 5, 2: None}
+    figs = spark.createDataFrame([(1, 0, 1, 0.0, 50.0, 50.0, 100.0, 12.0)], "doc_id long, page int, fig int, min_x double, max_x double, min_y double, max_y double, body_size double")
+    assert [r.caption_ord for r in links.assign_captions(figs, blocks).collect()] == [3]
