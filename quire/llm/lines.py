@@ -120,7 +120,7 @@ def runs(df: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "tex
     Blank lines count for nothing. A run is named by its lines, each held against the
     others by its bytes, so equal names are equal lines.
     """
-    shared = repeated(df, id_col, text_col, _lines).select("__hash")
+    shared = stage(repeated(df, id_col, text_col, _lines).select("__hash"))  # a table of its own, so that a very common line's rows can be split in the join
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"), F.xxhash64(text_col).alias("__name"), F.col(text_col).alias("__text"))
 
     def skeleton(batches):
@@ -203,7 +203,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_w
     gone = _explode(df, id_col, text_col).select("__id", "__name", "__hash").join(first, "__hash").where("__id != __first").select("__id", "__name", "__hash")
     if least_words:
         own_runs = stage(runs(df, least_words, id_col, text_col))
-        known = own_runs.groupBy("__hash").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first < __last")
+        known = stage(own_runs.groupBy("__hash").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first < __last"))
         gone = gone.unionByName(own_runs.join(known, "__hash").where("__id != __first").select("__id", "__name", "__hash"))
     key, name, gone_col = free_name(own, "key", "name", "gone")
     gone = gone.groupBy("__id", "__name").agg(F.collect_set("__hash").alias("__gone"))  # chunks and runs of one text
