@@ -5,6 +5,8 @@ the key space, so a source of any size is spread over as many groups and a rerun
 lost executor sees the same ranges. Distributed prefix sums (within a range, plus the
 totals of the ranges before it) place each row on its source's line of tokens, and the
 source is cut at its exact budget, after whole epochs where the budget exceeds it.
+Whole rows are shuffled once: the prefix sums and the join with the ranges' totals
+take the same keys, none of them null.
 """
 
 from __future__ import annotations
@@ -63,22 +65,25 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     rows are separate rows with the same key, in any order among themselves. Columns of
     the input stay, whatever their names, except that ``source_size``, ``target`` and
     ``taken`` are replaced. An empty table gives an empty result. All sizes 0: targets 0.
+    ``rows`` is read twice: stage it where reading it is dear or does not repeat.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     rows = rows.drop("source_size", "target", "taken")
     own = rows.columns
-    source, size, named, range_, end, of, start_range, before = free_name(own, "source", "size", "key", "range", "end", "of", "of_range", "before")
-    keyed = rows.withColumns({source: F.col(source_col), size: F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")), named: key})
-    keyed = stage(keyed.withColumn(range_, F.substring(named, 1, RANGE_DIGITS)))
-    ranges = keyed.groupBy(F.col(source).alias("of"), F.col(range_).alias("range")).agg(F.sum(size).alias("range_size"))
+    line, size, named, range_, end, of, start_range, before = free_name(own, "line", "size", "key", "range", "end", "of", "of_range", "before")
+    source = F.col(source_col)
+    name = F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))  # null, and it alone, is empty
+    keyed = rows.withColumns({line: name, size: F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")), named: key})
+    keyed = keyed.withColumn(range_, F.substring(named, 1, RANGE_DIGITS))
+    ranges = keyed.groupBy(source.alias("of"), F.col(line).alias("line"), F.col(range_).alias("range")).agg(F.sum(size).alias("range_size"))
     sizes = ranges.groupBy(F.col("of").alias("source")).agg(F.sum("range_size").alias("source_size"))
-    in_order = W.partitionBy("of").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    in_order = W.partitionBy("of").orderBy("range", "line").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(in_order), F.lit(0).cast("long")))
     goal = targets(sizes, weights, share, most_epochs)
-    ranges = ranges.join(goal, F.col("of").eqNullSafe(F.col("source"))).select(F.col("of").alias(of), F.col("range").alias(start_range), F.col("before").alias(before), "source_size", "target")
-    by_key = W.partitionBy(source, range_).orderBy(named, size).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranges = ranges.join(goal, F.col("of").eqNullSafe(F.col("source"))).select(F.col("line").alias(of), F.col("range").alias(start_range), F.col("before").alias(before), "source_size", "target")
+    by_key = W.partitionBy(line, range_).orderBy(named, size).rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = keyed.withColumn(end, F.sum(size).over(by_key))
-    placed = placed.join(ranges, F.col(source).eqNullSafe(F.col(of)) & (F.col(range_) == F.col(start_range)))
+    placed = placed.join(ranges, (F.col(line) == F.col(of)) & (F.col(range_) == F.col(start_range)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
     start = F.col(before) + F.col(end) - F.col(size)
@@ -103,7 +108,7 @@ def op9_mix(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("size"))
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(stage(docs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP9_SQL = r"""

@@ -584,7 +584,6 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     named = df.mapInArrow(_naming(text_col, own, node), extended(df, (node, "long")))
     keep = keep.select(F.col("node").alias(known), F.col("first").alias(first), F.col("n").alias(n))
     kept = named.join(keep, (F.col(node) == F.col(known)) & F.col(id_col).eqNullSafe(F.col(first)))
-    kept = stage(kept)
     row = F.struct(*(F.col(f"`{c}`") for c in own))
     twice = kept.where(F.col(n) > 1).groupBy(node).agg(F.min_by(row, F.xxhash64(*(F.col(f"`{c}`") for c in own))).alias("row")).select("row.*")
     return kept.where(F.col(n) == 1).select(*own).unionByName(twice)
