@@ -42,6 +42,7 @@ class Lexicon:
     def __init__(self, pieces: list[tuple[str, float, str]]) -> None:
         """``pieces``: (piece, score, kind) by id; kind is normal, byte, unknown or other."""
         self._trie: dict = {}
+        self._steps: dict = {}
         self._normal = [(p, s, i) for i, (p, s, kind) in enumerate(pieces) if kind == "normal"]
         self.bytes: dict[int, int] = {}
         self.plain: list[bytes] = []
@@ -73,6 +74,17 @@ class Lexicon:
                 node[""] = (i, score)
         return self._trie
 
+    @property
+    def steps(self) -> dict:
+        """The trie in the form the decoder walks, one lookup a code point: what follows, the id of the piece that ends there (-1: none), its score."""
+
+        def flat(node: dict) -> dict:
+            return {c: (flat(after), *after.get("", (-1, 0.0))) for c, after in node.items() if c}
+
+        if not self._steps:
+            self._steps = flat(self.trie)
+        return self._steps
+
     @classmethod
     def load(cls, path: str = MODEL) -> Lexicon:
         return cls(read_model(path))
@@ -120,19 +132,21 @@ def viterbi(text: Iterable[str], lexicon: Lexicon) -> Iterator[int]:
     piece at most. Where no piece that began earlier goes on, one position survives and
     all paths meet in it. Otherwise, once the window holds the longest piece, and again
     each time it has doubled, the paths of all surviving positions are walked back to
-    where they meet. Whatever lies before a meeting is committed.
+    where they meet. Whatever lies before a meeting is committed, and leaves the window
+    once that is a block.
     """
-    trie, unknown, longest, least = lexicon.trie, lexicon.unknown_score, lexicon.longest, float("-inf")
+    steps, unknown, longest, least = lexicon.steps, lexicon.unknown_score, lexicon.longest, float("-inf")
     parts = (part[k : k + BLOCK] for part in text for k in range(0, len(part), BLOCK))
     window, more = next(parts, ""), True
-    score, back, via = [0.0] + [least] * len(window), [0] * (len(window) + 1), [0] * (len(window) + 1)  # by position in the window: best score, its piece's start, and the piece (-1: a code point without one)
-    here = reach = 0  # next position to grow from, farthest a piece has reached
+    size = len(window)
+    score, back, via = [0.0] + [least] * size, [0] * (size + 1), [0] * (size + 1)  # by position in the window: best score, its piece's start, and the piece (-1: a code point without one)
+    here = reach = base = 0  # next position to grow from, farthest a piece has reached, last meeting
     checked = longest
 
     def path(upto: int) -> list[int]:
         ids: list[int] = []
         at = upto
-        while at:
+        while at > base:
             start, piece = back[at], via[at]
             if piece < 0:
                 ids.extend(reversed(lexicon.spell(window[start])))
@@ -143,7 +157,6 @@ def viterbi(text: Iterable[str], lexicon: Lexicon) -> Iterator[int]:
         return ids
 
     while True:
-        size = len(window)
         while more and size - here < longest:  # a piece from here may need this much
             part = next(parts, None)
             if part is None:
@@ -154,42 +167,44 @@ def viterbi(text: Iterable[str], lexicon: Lexicon) -> Iterator[int]:
                 score += [least] * len(part)
                 back += [0] * len(part)
                 via += [0] * len(part)
-        if here:
-            meet = 0
+        if here > base:
+            meet = base
             if reach == here:
                 meet = here
-            elif here >= checked:
+            elif here - base >= checked:
                 alive = {p for p in range(here, reach + 1) if score[p] > least}
                 while len(alive) > 1:
                     at = max(alive)
                     alive.remove(at)
                     alive.add(back[at])
                 meet = alive.pop()
-                checked = 2 * here  # paths that never meet cost a walk for each doubling
-            if meet:
+                checked = 2 * (here - base)  # paths that never meet cost a walk for each doubling
+            if meet > base:
                 yield from path(meet)
-                window = window[meet:]
-                score, via = score[meet:], via[meet:]
-                back = [0, *(b - meet for b in back[meet + 1 :])]
-                here, reach, checked, size = here - meet, reach - meet, longest, size - meet
+                base, checked = meet, longest
+                if base >= BLOCK:  # what is committed leaves the window
+                    window = window[base:]
+                    score, via = score[base:], via[base:]
+                    back = [0, *(b - base for b in back[base + 1 :])]
+                    here, reach, size, base = here - base, reach - base, size - base, 0
         if here == size:
             return
         so_far = score[here]
-        node, j, last = trie, here, here
         if so_far > least:
+            inner, j, last = steps, here, here
             while j < size:
-                node = node.get(window[j])
-                if node is None:
+                entry = inner.get(window[j])
+                if entry is None:
                     break
                 j += 1
-                end = node.get("")
-                if end is not None:
+                inner, piece, gain = entry
+                if piece >= 0:
                     if last == here:
                         first = j
                     last = j
-                    total = so_far + end[1]
+                    total = so_far + gain
                     if total > score[j]:
-                        score[j], back[j], via[j] = total, here, end[0]
+                        score[j], back[j], via[j] = total, here, piece
             if last == here or first > here + 1:  # no piece is this code point
                 if so_far + unknown > score[here + 1]:
                     score[here + 1], back[here + 1], via[here + 1] = so_far + unknown, here, -1
