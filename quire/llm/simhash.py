@@ -18,9 +18,10 @@ and only if a third value lies within one bit of both, so each is filed under th
 values within one bit, and whatever shares a value is linked in a star. Work is bounded
 by a constant times the fingerprints on either way.
 
-``similar`` is the wide form, for similarity of 0.8 over five-word shingles: so many
-bits then differ that no thresholds are both certain and selective. It takes as many
-partitions, all with threshold 0, as give a pair its wanted chance to agree on one.
+``similar`` takes these links over fingerprints of different five-word shingles and adds
+a wide form for pairs down to a similarity of 0.8: so many bits then differ that no
+thresholds are both certain and selective. The wide form takes as many partitions, all
+with threshold 0, as give a pair its wanted chance to agree on one.
 
 Only fingerprints move, never texts; equal ones are one node. Links and components stay
 distributed: labels are lowered and shortcut in rounds, each written to the shared folder.
@@ -497,11 +498,26 @@ def bucket_pairs(batches, most: int):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def within_radius(nodes: DataFrame) -> DataFrame:
+    """``(a, b)``: nodes (``node, print``) that equal or linked fingerprints join, those of the last 64 bits of the print.
+
+    Pairs are of different nodes; the components are those of all links.
+    """
+    named = nodes.select(F.element_at("print", -1).alias("fp"), "node")
+    prints = stage(named.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = named.join(prints, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    left, right = (prints.select(F.col("fp").alias(end), F.col("first").alias(f"n{end}")) for end in ("a", "b"))
+    linked = links(prints, plan(prints)).join(left, "a").join(right, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    return equal.unionByName(linked)
+
+
 def similar(df: DataFrame, how: Wide, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``(node, first, n, root)``: texts up to case and spaces, and the group each is in, staged.
 
     ``first`` is the least id of the node, ``n`` the rows that have it (of all the
-    node's, where no id is known), ``root`` the least node of the group. A pair of
+    node's, where no id is known), ``root`` the least node of the group. Texts whose
+    64-bit fingerprints differ in at most ``RADIUS`` bits are linked as everywhere (see
+    ``plan`` and ``links``), and none of these links is lost. Beside that, a pair of
     exactly the wanted similarity shares a partition value with the chance ``how`` was
     made for; closer ones are hardly ever missed. Pairs that all bits (1,024 at least)
     put more than three standard errors below it are dropped, the others are held
@@ -561,8 +577,8 @@ def similar(df: DataFrame, how: Wide, id_col: str = "doc_id", text_col: str = "t
     found = stage(found.groupBy("node").agg(F.first("set").alias("set")))
     left, right = found.select(F.col("node").alias("a"), F.col("set").alias("sa")), found.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    edges = close.join(left, "a").join(right, "b").where(both >= how.similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    roots = components(edges)
+    wide = close.join(left, "a").join(right, "b").where(both >= how.similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    roots = components(wide.unionByName(within_radius(nodes)))
     placed = nodes.select("node", "first", "n").join(roots.withColumnRenamed("fp", "node"), "node", "left")
     return stage(placed.withColumn("root", F.coalesce("root", "node")))
 

@@ -86,6 +86,21 @@ def test_near_copies_match_brute_force(spark):
     assert simhash.one_of_each(df.limit(0)).collect() == []
 
 
+def test_fingerprints_within_two_bits_are_one_group(spark):
+    """Links of the fingerprints hold whatever the wide partitions find; here one of 60 bits is all they have."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(0, 80, 2):
+        own = ["".join(rng.choice("etaoinshr") for _ in range(6)) for _ in range(1500)]
+        rows += [(k, " ".join(own)), (k + 1, " ".join([*own[:700], f"changed{k}", *own[701:]]))]
+    how = simhash.Wide(60, 1, 0.15, 0.8)
+    prints = [int(simhash.wide_fingerprint(simhash._words(t), 5, how.lanes)[-1]) for _, t in rows]
+    root = {r.first: r.root for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), how).collect()}
+    near = [(i, j) for i, j in itertools.combinations(range(80), 2) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    assert len(near) > 20
+    assert all(root[i] == root[j] for i, j in near)
+
+
 def test_ids_that_are_null_or_repeat_lose_nothing(spark):
     """Seven unlike texts, five without an id and one id twice, stay seven."""
     rng = random.Random(4)
