@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import pyarrow as pa
+
 from quire.functions import hyphenation
-from quire.operators import glyphs, paragraphs
+from quire.operators import batches, glyphs, paragraphs
+from quire.plans import catalog
 
 LINE = "doc_id long, page int, block long, ord long, text string, baseline double, size double, min_x double, max_x double"
 
@@ -41,3 +44,26 @@ def test_two_pieces_on_one_baseline_do_not_split_later_lines(spark):
     rows = [(1, 0, k, float(y), 10.0, "serif", 0.0, 100.0) for k, y in enumerate((0, 0, 12))]
     df = spark.createDataFrame(rows, "doc_id long, page int, ord long, baseline double, size double, family string, min_x double, max_x double")
     assert {r.block for r in glyphs.segment_blocks(df).collect()} == {0}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paragraph_text_moves_rows_twice(spark, tmp_path):
+    """Lines are cut where a document lies, laid by block, then by paragraph; nothing is joined, kept or grouped block by block."""
+    spark.createDataFrame([(1, "a b. c-\n" * 700), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = plan_of(catalog.QUERIES["paragraph_text"](spark, str(tmp_path)))
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert not any(x in plan for x in ("Join", "FlatMapGroups", "InMemoryTableScan"))
+
+
+def test_groups_are_whole_however_batches_are_cut():
+    keys = pa.array([1, 1, 1, 2, None, None, 3, 3, 3, 3, 4], pa.int64())
+    rows = pa.RecordBatch.from_arrays([keys, pa.array(["x"] * 11), pa.array(range(11))], ["k", "s", "at"])
+    for size in (1, 2, 3, 4, 11):
+        cut = (rows.slice(a, size) for a in range(0, 11, size))
+        got = [(b.column(0).to_pylist(), b.column(2).to_pylist()) for b in batches.whole_groups(cut, ["k", "s"])]
+        assert [x for _, at in got for x in at] == list(range(11))
+        ends = [(a[0][-1], b[0][0]) for a, b in zip(got, got[1:], strict=False)]
+        assert all(a != b for a, b in ends)
