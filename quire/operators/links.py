@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import batches as batches_of
+
 ABOVE_PENALTY = 1e6
 #: Fixed value: the labels that captions open with, before a number.
 CAPTION_LABEL = r"^[ \t\n]*(?:Figure|Fig\.|Table|Plate|Abbildung|Tabelle|Abb\.)[ \t\n]*[0-9IVXivx]"
@@ -63,32 +67,47 @@ def assign_captions(figures: DataFrame, blocks: DataFrame) -> DataFrame:
     """Figures in order, each with the nearest block below or above that overlaps it and no earlier figure took.
 
     Labelled blocks may lie farther off, others must be smaller than the body. Blank blocks
-    are no captions. A block without a size counts as one of the body's.
+    are no captions. A block without a size counts as one of the body's. What an earlier
+    figure took makes a page a fold; pages are laid together, not grouped.
     """
-    def bind(key, figs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def bind(figs, rows):
         used: set[int] = set()
-        out = []
-        for f in figs.sort_values(["min_y", "min_x", "fig"]).itertuples():
+        for fig, f0, f1, f2, f3, body in sorted(figs, key=lambda f: (f[3], f[1], f[0])):
             best = None
-            for b in rows.sort_values("ord").itertuples():
-                if b.ord in used:
+            for ord_, x0, x1, y0, y1, size, labelled in rows:
+                if ord_ in used or min(f1, x1) - max(f0, x0) < 0.3 * min(f1 - f0, x1 - x0):
                     continue
-                overlap = min(f.max_x, b.max_x) - max(f.min_x, b.min_x)
-                if overlap < 0.3 * min(f.max_x - f.min_x, b.max_x - b.min_x):
-                    continue
-                gap = max(b.min_y - f.max_y, f.min_y - b.max_y, 0.0)
-                line = b.size if b.size > 0 else f.body_size
-                near = gap <= 1.5 * line and b.size < 0.95 * f.body_size
-                if (near or b.labelled and gap <= 4.5 * line) and (best is None or gap < best[0]):
-                    best = (gap, b.ord)
+                gap = max(y0 - f3, f2 - y1, 0.0)
+                line = size if size > 0 else body
+                near = gap <= 1.5 * line and size < 0.95 * body
+                if (near or labelled and gap <= 4.5 * line) and (best is None or gap < best[0]):
+                    best = (gap, ord_)
             if best is not None:
                 used.add(best[1])
-                out.append((key[0], key[1], f.fig, best[1]))
-        return pd.DataFrame(out, columns=["doc_id", "page", "fig", "caption_ord"])
-
-    labelled = F.col("text").rlike(CAPTION_LABEL)
-    rows = blocks.where(F.trim("text") != "").select("doc_id", "page", "ord", "size", "min_x", "max_x", "min_y", "max_y", labelled.alias("labelled"))
-    return figures.groupBy("doc_id", "page").cogroup(rows.groupBy("doc_id", "page")).applyInPandas(bind, "doc_id long, page int, fig int, caption_ord long")
+                yield fig, best[1]
+
+    def run(batches):
+        for batch in batches_of.whole_groups(batches, key):
+            is_fig = batches_of.numbers(batch, "is_fig")
+            at = np.r_[batches_of.starts(batch, key), batch.num_rows]
+            with_figs = np.flatnonzero(np.add.reduceat(is_fig.astype(np.int64), at[:-1]))
+            out = []
+            for g in with_figs.tolist():
+                group = batch.slice(int(at[g]), int(at[g + 1] - at[g]))
+                n = int(np.count_nonzero(is_fig[at[g] : at[g + 1]]))
+                page, doc = group.column("page")[0].as_py(), group.column("doc_id")[0].as_py()
+                rows = list(zip(*(batches_of.numbers(group, c).tolist() for c in ("id", "min_x", "max_x", "min_y", "max_y", "size", "labelled")), strict=True))
+                out += [(doc, page, fig, found) for fig, found in bind([r[:6] for r in rows[:n]], rows[n:])]
+            yield pa.RecordBatch.from_pylist([dict(zip(result.names, r, strict=True)) for r in out], result)
+
+    key = ["doc_id", "page"]
+    result = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("fig", pa.int32()), ("caption_ord", pa.int64())])
+    where = [F.col(c).cast("double").alias(c) for c in ("min_x", "max_x", "min_y", "max_y")]
+    labelled = F.coalesce(F.col("text").rlike(CAPTION_LABEL), F.lit(False))
+    figs = figures.select(*key, F.lit(True).alias("is_fig"), F.col("fig").cast("long").alias("id"), *where, F.col("body_size").alias("size"), F.lit(False).alias("labelled"))
+    rows = blocks.where(F.trim("text") != "").select(*key, F.lit(False).alias("is_fig"), F.col("ord").alias("id"), *where, "size", labelled.alias("labelled"))
+    both = figs.unionByName(rows).withColumn("after", ~F.col("is_fig"))
+    return batches_of.laid_together(both, key, "after", "id").drop("after").mapInArrow(run, "doc_id long, page int, fig int, caption_ord long")
 
 
 def without_overlaps(spans: DataFrame) -> DataFrame:

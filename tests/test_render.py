@@ -5,6 +5,7 @@ from xml.etree import ElementTree
 from pyspark.sql import functions as F
 
 from quire.operators import links, render, runs
+from quire.plans import catalog
 from quire.sources import container
 
 
@@ -64,3 +65,14 @@ def test_links_without_target_stay_and_captions_follow_their_labels(spark):
     assert {r.seq: r.target_ord for r in links.cross_references(refs, blocks).collect()} == {1: 5, 2: None}
     figs = spark.createDataFrame([(1, 0, 1, 0.0, 50.0, 50.0, 100.0, 12.0)], "doc_id long, page int, fig int, min_x double, max_x double, min_y double, max_y double, body_size double")
     assert [r.caption_ord for r in links.assign_captions(figs, blocks).collect()] == [3]
+
+
+def test_captions_lay_pages_together_without_grouping_or_keeping(spark, tmp_path):
+    figs = spark.createDataFrame([(1, 0, 2, 0.0, 50.0, 50.0, 100.0, 12.0), (1, 0, 1, 0.0, 50.0, 40.0, 98.0, 12.0), (2, 0, 1, 0.0, 50.0, 50.0, 100.0, 12.0)], "doc_id long, page int, fig int, min_x double, max_x double, min_y double, max_y double, body_size double")
+    rows = [(1, 0, 7, "Figure 2", None, 0.0, 50.0, 110.0, 120.0), (1, 0, 3, "small", 8.0, 0.0, 50.0, 103.0, 109.0), (3, 0, 1, "Figure 1", 8.0, 0.0, 50.0, 103.0, 109.0)]
+    blocks = spark.createDataFrame(rows, "doc_id long, page int, ord long, text string, size double, min_x double, max_x double, min_y double, max_y double")
+    assert {(r.doc_id, r.fig): r.caption_ord for r in links.assign_captions(figs, blocks).collect()} == {(1, 1): 3, (1, 2): 7}
+    assert links.assign_captions(figs.limit(0), blocks).collect() == [] == links.assign_captions(figs, blocks.limit(0)).collect()
+    spark.createDataFrame([(1, "a b. c-\n" * 700)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = catalog.QUERIES["captions"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("FlatMap", "InMemoryTableScan"))
