@@ -58,6 +58,13 @@ def test_paragraph_text_moves_rows_twice(spark, tmp_path):
     assert not any(x in plan for x in ("Join", "FlatMapGroups", "InMemoryTableScan"))
 
 
+def test_paragraph_starts_move_rows_once_and_leave_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "a b. c-\n" * 700)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = plan_of(catalog.QUERIES["paragraph_starts"](spark, str(tmp_path)))
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert not any(x in plan for x in ("Join", "FlatMapGroups", "InMemoryTableScan"))
+
+
 def test_groups_are_whole_however_batches_are_cut():
     keys = pa.array([1, 1, 1, 2, None, None, 3, 3, 3, 3, 4], pa.int64())
     rows = pa.RecordBatch.from_arrays([keys, pa.array(["x"] * 11), pa.array(range(11))], ["k", "s", "at"])
