@@ -7,16 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of a group's rows, about, that are handed on at once.
+#: Bytes of rows, about, that are handed to Python at once.
 _ARROW, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound the bytes of a batch, unless the session has a setting of its own."""
+    spark.conf.set(_ARROW, spark.sparkContext.getConf().get(_ARROW, str(ARROW_BYTES)))
+
+
 def laid_together(df: DataFrame, key: list[str], *order: str) -> DataFrame:
     """Rows of a group in one partition, one after another, by ``order``; batches handed to Python are bounded in bytes."""
-    conf = df.sparkSession
-    conf.conf.set(_ARROW, conf.sparkContext.getConf().get(_ARROW, str(ARROW_BYTES)))
+    bounded(df.sparkSession)
     return df.repartition(*key).sortWithinPartitions(*key, *order)
 
 

@@ -10,8 +10,14 @@ the dialect differs, and here a document (``doc_id`` is its key) is cut into lin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import batches, stream
+
 WORDS_PER_LINE, LINES_PER_PAGE = 8, 40
 
 SPARK = {
@@ -140,3 +146,29 @@ def blocks(spark: SparkSession, sf_dir: str, keep: bool = True) -> DataFrame:
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "glyphs")
+
+
+#: What ``spread`` needs of a line.
+SPREAD = ("doc_id", "page", "ord", "cls", "text", "n_glyphs", "size", "min_x", "baseline", "bold", "fixed")
+
+
+def spread(batch: pa.RecordBatch) -> stream.Glyphs:
+    """The glyphs of a batch of lines, as the view ``glyphs`` has them."""
+    number = lambda name: batches.numbers(batch, name)
+    n, size, order, page = number("n_glyphs"), number("size"), number("ord"), number("page")
+    code = np.frombuffer("".join(batch.column("text").to_pylist()).encode("utf-32-le"), "<u4")
+    line = np.repeat(np.arange(batch.num_rows), n)
+    seq = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+    each = lambda values: values[line]
+    first = np.zeros(batch.num_rows, np.int64)
+    first[batches.starts(batch, stream.PAGE)] = 1
+    x = each(number("min_x")) + each(0.5 * size) * seq + np.where(seq % 9 == 8, 1.5, 0.0)
+    rise = each(np.where(np.array(batch.column("cls").to_pylist()) == "text", 0.25 * size, 0.0)) * (seq % 41 == 17)
+    font = np.where(number("fixed"), 2, np.where(number("bold"), 1, 0)).astype(np.int32)
+    hidden = each(order % 29 == 13) & (seq % 2 == 0) | each(page % 17 == 16)
+    return stream.Glyphs(line, each(np.cumsum(first) - 1), seq, x, each(number("baseline")), each(0.5 * size), each(size), rise, each(np.where(order % 31 == 5, 90.0, 0.0)), code, each(font), np.where(hidden, 3, 0))
+
+
+def over_glyphs(lines: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """An operator of ``stream`` over the glyphs of lines as they come from here."""
+    return stream.over(lines, spread, work, schema)

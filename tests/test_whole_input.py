@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from test_catalog import canonical
 
+from quire.operators import glyphs, runs, stream
 from quire.plans import catalog
 from quire.sources import typeset
 
@@ -55,3 +57,44 @@ def test_raised_glyphs_stay_on_the_only_line_of_a_page(spark, tmp_path):
     folder = made(tmp_path, "w " * 640 + "abcd efgh ijkl mno", "abcd efgh ijkl mno")
     got, want = against_sql(spark, "line_clusters", folder)
     assert got == want
+
+
+ODD = ("", " \n\t ", "x", "# ~ .", "naïve façade 𝒳𝒴 日本語 " * 9, "a b ​c\rd " * 40, "w " * (17 * 320 + 3), "a " * 700 + "z" * 3000, None, "b-c " * 1300)
+
+
+@pytest.mark.parametrize("name", ["line_text", "split_lines", "typeset_lines", "typeset_blocks", "paragraph_starts", "paragraph_text", "line_clusters"])
+def test_odd_documents_give_the_rows_of_the_sql(spark, tmp_path, name):
+    got, want = against_sql(spark, name, made(tmp_path, *ODD))
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["line_text", "split_lines"])
+def test_glyphs_are_never_moved(spark, tmp_path, name):
+    plan = catalog.QUERIES[name](spark, made(tmp_path, *ODD))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Sort", "InMemoryTableScan"))
+
+
+def test_streams_say_what_operators_on_rows_say(spark, monkeypatch):
+    """Glyphs of mixed sizes, fonts, advances and order, in small batches."""
+    monkeypatch.setattr(stream, "GLYPHS", 50)
+    rng = np.random.default_rng(7)
+    made_rows = []
+    for page in range(6):
+        for line in range(9):
+            for k in range(int(rng.integers(1, 14))):
+                size = float(rng.choice([8.0, 10.0, 12.0, 0.0]))
+                made_rows.append((1, page, line, k, float(rng.integers(0, 60)) * 4, 20.0 * line, float(rng.choice([4.0, 5.0])), size, float(rng.choice([0, 0, 0, 2])), float(rng.choice([0, 0, 90])), str(rng.choice(list("ab c"))), int(rng.integers(0, 3)), 3 if page == 5 else int(rng.choice([0, 3, 7]))))
+    names = "doc_id long, page int, ord long, seq int, x double, y double, advance double, size double, rise double, rotation double, rune string, font_id int, render_mode int"
+    df = spark.createDataFrame(made_rows, names)
+    lines = sorted({r[:3] for r in made_rows})
+    number, column = {r: k for k, r in enumerate(lines)}, lambda k, kind: np.array([r[k] for r in made_rows], kind)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": d, "page": p, "ord": o, "mids": [60.0, 130.0] if p % 2 else None} for d, p, o in lines], pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("ord", pa.int64()), ("mids", pa.list_(pa.float64()))]))
+    code = np.array([ord(r[10]) for r in made_rows], np.uint32)
+    g = stream.Glyphs(np.array([number[r[:3]] for r in made_rows]), column(1, int), *(column(k, float) for k in range(3, 10)), code, column(11, np.int32), column(12, int)).ordered()
+    out = lambda columns, names: sorted(map(repr, zip(*(columns[c].to_pylist() for c in names), strict=True)))
+    names = ["page", "ord", "text", "has_superscript", "size", "baseline", "min_x", "max_x", "min_y", "max_y", "n_glyphs", "font_id"]
+    rows = glyphs.line_text(glyphs.visible(glyphs.upright(df)), "ord").select(*names).collect()
+    assert out(stream.line_text(batch, stream.visible(stream.upright(g))), names) == sorted(map(repr, map(tuple, rows)))
+    cuts = df.where("page % 2 = 1").select("doc_id", "page").distinct().selectExpr("*", "explode(array(60.0D, 130.0D)) m").selectExpr("doc_id", "page", "m min_x", "m max_x")
+    rows = runs.split_at_gutters(df, cuts).groupBy("page", "ord", "segment").agg(F.count("*").alias("n"), F.min("x").alias("min_x")).collect()
+    assert out(stream.split_at_gutters(batch, g), ["page", "ord", "segment", "n", "min_x"]) == sorted(map(repr, map(tuple, rows)))
