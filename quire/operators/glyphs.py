@@ -11,13 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import stream
+from .fixed import BASELINE_TOLERANCE, BINS, CLEAR, CLOSE, LEAST_ROWS, OPEN, ROTATION, SPACE_RATIO, SUPER_RISE, SUPER_SIZE
 from .paragraphs import Leading
 
-ROTATION, BASELINE_TOLERANCE = 5.0, 0.3
-SPACE_RATIO, SUPER_RISE, SUPER_SIZE = 0.25, 0.2, 0.85
-OPEN, CLOSE = "", ""
-BINS, LEAST_ROWS, CLEAR = 512, 8, 0.6
-
 
 def visible(glyphs: DataFrame) -> DataFrame:
     """Without render modes 3 and 7, unless a page has nothing else."""
@@ -90,8 +87,11 @@ def gutters(glyphs: DataFrame) -> DataFrame:
 
     Rows are 1.2 median sizes high, the page's text width is cut in 512 bins, a glyph
     covers the bins of its advance. A strip of bins clear in 60 % of the rows, not at an
-    edge and twice a space wide, is a gutter.
+    edge and twice a space wide, is a gutter. Rows that a stream gives too (see
+    ``stream.also``) are taken from there, and none of them is moved.
     """
+    if "spread_from" in vars(glyphs):
+        return stream.over(*glyphs.spread_from, stream.gutters, stream.GUTTERS)
     key = ["doc_id", "page"]
     page = glyphs.groupBy(*key).agg(F.min("x").alias("x0"), F.max(F.col("x") + F.col("advance")).alias("x1"), F.min("y").alias("y0"), F.median("size").alias("mid"))
     page = page.where("x1 > x0")

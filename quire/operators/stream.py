@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import batches as batches_of
-from .glyphs import CLOSE, OPEN, ROTATION, SPACE_RATIO, SUPER_RISE, SUPER_SIZE
+from .fixed import BINS, CLEAR, CLOSE, LEAST_ROWS, OPEN, ROTATION, SPACE_RATIO, SUPER_RISE, SUPER_SIZE
 
 PAGE = ["doc_id", "page"]
-#: Glyphs, about, that are spread at once.
-GLYPHS = 1 << 18
+#: Glyphs, about, that are spread at once, and text rows whose bins are.
+GLYPHS, ROWS = 1 << 18, 1 << 12
 _OPEN, _CLOSE, _SPACE = ord(OPEN), ord(CLOSE), 32
 
 
@@ -68,6 +68,12 @@ def parts(batches: Iterator[pa.RecordBatch], weight: str = "n_glyphs") -> Iterat
             a = b
 
 
+def also(rows: DataFrame, lines: DataFrame, spread: Callable) -> DataFrame:
+    """Glyph rows marked as those that ``spread`` makes of ``lines``, for operators that can do without the rows."""
+    rows.spread_from = (lines, spread)
+    return rows
+
+
 def over(lines: DataFrame, spread: Callable, work: Callable, schema: str) -> DataFrame:
     """``work(batch, glyphs)`` of each batch of lines and the glyphs ``spread`` makes of it; it returns columns by name."""
 
@@ -208,3 +214,49 @@ def split_at_gutters(batch: pa.RecordBatch, g: Glyphs) -> dict:
 
 
 SEGMENTS = "doc_id long, page int, ord long, segment long, n long, min_x double"
+
+
+def gutters(batch: pa.RecordBatch, g: Glyphs) -> dict:
+    """Per page the strips that most text rows leave clear, as ``glyphs.gutters`` says."""
+    at = firsts(g.page)
+    each = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(g.page)]))
+    end = g.x + g.advance
+    x0, x1, y0 = (f.reduceat(v, at) if len(at) else np.zeros(0) for f, v in ((np.minimum, g.x), (np.maximum, end), (np.minimum, g.y)))
+    mid = medians(g.size, at)
+    used = (g.code != _SPACE) & ((x1 > x0) & (mid > 0))[each]
+    page = each[used]
+    row = np.floor((g.y[used] - y0[page]) / (1.2 * mid)[page]).astype(np.int64)
+    bin_of = lambda v: np.clip(np.floor((v[used] - x0[page]) / (x1 - x0)[page] * BINS), 0, BINS - 1).astype(np.int64)
+    b0, b1 = bin_of(g.x), bin_of(end)
+    order = np.lexsort((row, page)) if ((page[1:] == page[:-1]) & (row[1:] < row[:-1])).any() else slice(None)
+    page, row, b0, b1 = page[order], row[order], b0[order], b1[order]
+    opens = np.r_[True, (page[1:] != page[:-1]) | (row[1:] != row[:-1])] if len(page) else np.zeros(0, bool)
+    number, row_page = np.cumsum(opens) - 1, page[opens]
+    n_rows = np.bincount(row_page, minlength=len(at))
+    full = np.zeros((len(at), BINS), np.int64)
+    for a in range(0, len(row_page), ROWS):  # a glyph adds one where it begins and takes one where it ends
+        some = slice(*np.searchsorted(number, (a, a + ROWS)))
+        own, pages = (number[some] - a) * (BINS + 1), row_page[a : a + ROWS]
+        marks = np.bincount(own + np.minimum(b0[some], b1[some]), minlength=len(pages) * (BINS + 1))
+        marks -= np.bincount(own + np.maximum(b0[some], b1[some]) + 1, minlength=len(marks))
+        covered = np.cumsum(marks.reshape(len(pages), BINS + 1), axis=1)[:, :BINS] > 0
+        first = firsts(pages)
+        full[pages[first]] += np.add.reduceat(covered, first, axis=0, dtype=np.int64)
+    clear = 1 - full / np.maximum(n_rows, 1)[:, None]
+    edges = np.diff(np.pad(((clear >= CLEAR) & (n_rows >= LEAST_ROWS)[:, None]).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (p, low), after = np.nonzero(edges == 1), np.nonzero(edges == -1)[1]
+    width = (x1 - x0)[p] / BINS
+    left, right = x0[p] + low * width, x0[p] + after * width
+    kept = (low > 0) & (after < BINS) & (right - left >= 0.5 * mid[p])
+    sums = [np.add.accumulate(clear[k, a:b])[-1] for k, a, b in zip(p[kept].tolist(), low[kept].tolist(), after[kept].tolist(), strict=True)]  # bin by bin, as the rows add
+    strength = (right - left)[kept] * (np.array(sums, float) / (after - low)[kept])
+    rows = pa.array(g.line[at][p][kept])
+    return {
+        **{c: batch.column(c).take(rows) for c in PAGE},
+        "min_x": pa.array(left[kept]),
+        "max_x": pa.array(right[kept]),
+        "strength": pa.array(strength),
+    }
+
+
+GUTTERS = "doc_id long, page int, min_x double, max_x double, strength double"

@@ -10,8 +10,6 @@ the dialect differs, and here a document (``doc_id`` is its key) is cut into lin
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -167,8 +165,3 @@ def spread(batch: pa.RecordBatch) -> stream.Glyphs:
     font = np.where(number("fixed"), 2, np.where(number("bold"), 1, 0)).astype(np.int32)
     hidden = each(order % 29 == 13) & (seq % 2 == 0) | each(page % 17 == 16)
     return stream.Glyphs(line, each(np.cumsum(first) - 1), seq, x, each(number("baseline")), each(0.5 * size), each(size), rise, each(np.where(order % 31 == 5, 90.0, 0.0)), code, each(font), np.where(hidden, 3, 0))
-
-
-def over_glyphs(lines: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """An operator of ``stream`` over the glyphs of lines as they come from here."""
-    return stream.over(lines, spread, work, schema)

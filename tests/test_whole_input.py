@@ -98,3 +98,13 @@ def test_streams_say_what_operators_on_rows_say(spark, monkeypatch):
     cuts = df.where("page % 2 = 1").select("doc_id", "page").distinct().selectExpr("*", "explode(array(60.0D, 130.0D)) m").selectExpr("doc_id", "page", "m min_x", "m max_x")
     rows = runs.split_at_gutters(df, cuts).groupBy("page", "ord", "segment").agg(F.count("*").alias("n"), F.min("x").alias("min_x")).collect()
     assert out(stream.split_at_gutters(batch, g), ["page", "ord", "segment", "n", "min_x"]) == sorted(map(repr, map(tuple, rows)))
+
+
+def test_gutters_of_a_stream_are_those_of_the_rows(spark, tmp_path):
+    """Rows without the mark go the way of rows; the stream moves no glyph."""
+    folder = made(tmp_path, *ODD, "one  two three four five six seven eight " * 400)
+    of = lambda found: sorted((r.doc_id, r.page, round(r.min_x, 4), round(r.max_x, 4), round(r.strength, 4)) for r in found.collect())
+    marked = catalog._with_columns(spark, folder)
+    streamed = glyphs.gutters(marked)
+    assert "Exchange" not in streamed._jdf.queryExecution().executedPlan().toString()
+    assert of(streamed) == of(glyphs.gutters(marked.select("*"))) != []
