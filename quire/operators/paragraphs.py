@@ -35,13 +35,13 @@ class Leading:
         return middle if middle > 0 else SEED_LEADING * size
 
 
-def paragraphs(lines: DataFrame) -> DataFrame:
+def paragraphs(lines: DataFrame, together: bool = False) -> DataFrame:
     """``(doc_id, page, ord, block, paragraph)`` of segmented lines (see ``with_paragraphs``)."""
     marked = _marked(lines).select("doc_id", "page", "ord", "block", "baseline", "size", "min_x", "max_x", *_FLAGS)
-    return _numbered(marked).select("doc_id", "page", "ord", "block", "paragraph")
+    return _numbered(marked, together).select("doc_id", "page", "ord", "block", "paragraph")
 
 
-def with_paragraphs(lines: DataFrame) -> DataFrame:
+def with_paragraphs(lines: DataFrame, together: bool = False) -> DataFrame:
     """All columns of segmented lines and ``paragraph``, numbered within a block.
 
     A line opens one when it is indented over the block's median indent, stands apart by
@@ -49,8 +49,10 @@ def with_paragraphs(lines: DataFrame) -> DataFrame:
     ends a sentence. A list marker always opens one; lines set farther right than the
     marker's stay with it. What the usual leading is depends on where the paragraph
     began, so a block is a fold over its lines; blocks are laid together, not grouped.
+    Lines that lie block by block in order already (``together``), as they come from the
+    typesetter, are not moved.
     """
-    return _numbered(_marked(lines)).drop(*_FLAGS)
+    return _numbered(_marked(lines), together).drop(*_FLAGS)
 
 
 _KEY, _FLAGS = ["doc_id", "page", "block"], ["__marked", "__ends"]
@@ -61,7 +63,7 @@ def _marked(lines: DataFrame) -> DataFrame:
     return lines.drop("paragraph").withColumns(dict(zip(_FLAGS, (text.rlike(MARKER), text.rlike(TERMINAL.removesuffix("$") + r"\z")), strict=True)))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
+def _numbered(rows: DataFrame, together: bool) -> DataFrame:
     def run(batches):
         for batch in batches_of.whole_groups(batches, _KEY):
             at = [*batches_of.starts(batch, _KEY).tolist(), batch.num_rows]
@@ -102,7 +104,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
             out.append(number)
 
     schema = T.StructType([*rows.schema.fields, T.StructField("paragraph", T.LongType())])
-    return batches_of.laid_together(rows, _KEY, "ord").mapInArrow(run, schema)
+    batches_of.bounded(rows.sparkSession)
+    return (rows if together else batches_of.laid_together(rows, _KEY, "ord")).mapInArrow(run, schema)
 
 
 def _bare(word: Column) -> Column:
