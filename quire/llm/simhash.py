@@ -288,28 +288,20 @@ def links(nodes: DataFrame, how: Plan) -> DataFrame:
             for at in range(0, len(frame), 1 << 14):
                 yield shared.value.filed(frame["fp"].to_numpy()[at : at + (1 << 14)])
 
-    def choose(frames):
+    def probe(frames):
         for frame in frames:
-            for at in range(0, len(frame), 4096):
-                rows = frame.iloc[at : at + 4096]
+            for at in range(0, len(frame), 1024):
+                rows = frame.iloc[at : at + 1024]
                 fps = rows["fp"].to_numpy()
                 thresholds, _ = shared.value.thresholds(fps, rows[[f"c{k}" for k in range(parts)]].to_numpy())
-                yield pd.DataFrame({"fp": fps, "t": list(thresholds.astype(np.int32))})
-
-    def probe(frames):
-        for frame in frames:
-            for at in range(0, len(frame), 4096):
-                rows = frame.iloc[at : at + 4096]
-                if len(rows):
-                    yield shared.value.probes(rows["fp"].to_numpy(), np.stack(rows["t"].to_numpy()))
+                yield shared.value.probes(fps, thresholds)
 
     kind = "fp long, part int, value long"
     filed = nodes.select("fp").mapInPandas(file, kind)
     counts = stage(filed.groupBy("part", "value").agg(F.count("*").alias("n")))
     known = stage(filed.join(counts, ["part", "value"]))
     own = known.groupBy("fp").agg(*(F.max(F.when(F.col("part") == k, F.col("n"))).alias(f"c{k}") for k in range(parts)))
-    chosen = own.mapInPandas(choose, "fp long, t array<int>")
-    probes = stage(chosen.mapInPandas(probe, kind))
+    probes = stage(own.mapInPandas(probe, kind))  # chosen and listed in one pass, so a task has one Python worker
     met = probes.join(counts, ["part", "value"]).groupBy("fp").agg((F.sum("n") <= limit).alias("light"))
     met = stage(met)
     light = met.where("light").select("fp")
@@ -332,18 +324,24 @@ def links(nodes: DataFrame, how: Plan) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(fp, root)`` for every fingerprint that has a link: the least fingerprint reachable.
 
-    Each round a label falls to the least of the neighbours' and then to its label's own
-    label, so long chains halve. Rounds end when no label changed.
+    Each round a label falls to the least of the neighbours', and so does that of the
+    fingerprint it names, so whole trees fall at once; then two steps go from label to
+    label, so long chains quarter. Rounds end when no label changed.
     """
     both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = stage(both.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("m")).select("fp", F.least("fp", "m").alias("root")))
+    own = F.struct("fp", F.col("root").alias("was"), F.least("root", "near").alias("low"))
+    named = F.struct(F.col("root").alias("fp"), F.lit(None).cast("long").alias("was"), F.col("near").alias("low"))
     while True:
         before = labels
         seen = both.join(labels.select(F.col("fp").alias("b"), "root"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("near"))
-        lower = labels.join(seen, "fp").select("fp", F.col("root").alias("was"), F.least("root", "near").alias("low"))
-        lower = stage(lower)
+        offers = labels.join(seen, "fp").select(F.explode(F.array(own, named)).alias("o")).select("o.*")
+        lower = stage(offers.groupBy("fp").agg(F.max("was").alias("was"), F.min("low").alias("low")))
         jump = lower.select(F.col("fp").alias("low"), F.col("low").alias("beyond"))
-        stepped = stage(lower.join(jump, "low", "left").select("fp", "was", F.least("low", "beyond").alias("root")))
+        stepped = lower
+        for _ in range(2):
+            stepped = stepped.join(jump, "low").select("fp", "was", F.col("beyond").alias("low"))
+        stepped = stage(stepped.withColumnRenamed("low", "root"))
         unstage(lower, before)
         labels = stepped
         if not stepped.where("root != was").limit(1).count():

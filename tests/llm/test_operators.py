@@ -321,6 +321,28 @@ def test_components_match_brute_force(spark, monkeypatch, light):
     assert {r.doc_id: r.component_id for r in got} == {k: first[root[f]] for k, f in enumerate(fps)}
 
 
+def test_components_of_chains_in_no_order_take_few_rounds(spark, monkeypatch):
+    """Before whole trees fell at once, the 60 took 28 rounds of two staged tables."""
+    staged = []
+    monkeypatch.setattr(simhash, "stage", lambda df, keep=simhash.stage: staged.append(df) or keep(df))
+    order = list(range(100, 160))
+    random.Random(1).shuffle(order)
+    pairs = [(min(p), max(p)) for p in itertools.pairwise(order)] + [(3, 7), (7, 9)]
+    got = simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted(got) == [(3, 3), (7, 3), (9, 3), *((k, 100) for k in range(100, 160))]
+    assert len(staged) <= 2 + 2 * 5
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_links_take_one_python_worker_a_task(spark, monkeypatch):
+    """Thresholds used to be chosen in one worker and probes listed in another beside it."""
+    plans = []
+    monkeypatch.setattr(simhash, "stage", lambda df, keep=simhash.stage: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    nodes = spark.createDataFrame([(k * k,) for k in range(50)], "fp long")
+    simhash.links(nodes, simhash.plan(nodes))
+    assert max(p.count("MapInPandas") for p in plans) == 1
+
+
 def test_simhash_nulls_and_empty_tables(spark):
     rows = [(None, 5), (None, 5), (3, 5), (7, -1), (7, -1), (None, 1 << 40)]
     df = spark.createDataFrame(rows, "doc_id long, fp long").withColumn("component_id", F.lit("x"))
